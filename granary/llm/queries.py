@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.canonical import map_to_canonical
+from granary.llm.leaks import leaked_items
 from granary.llm.mixing import mix, short_sources
 from granary.llm.resolve import product_pairs, same_products
+from granary.llm.spam import spam_pages
 from granary.llm.survivors import claims_of, discover_truth, surviving_values
 from granary.sources.tables import table
 
@@ -30,6 +32,10 @@ def p7_truth(spark: SparkSession, folder: str) -> DataFrame:
     return truth.select(F.col("g").alias("product_id"), F.col("field").alias("field_name"), "value", F.col("r").alias("record_id"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return short_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -42,7 +48,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p7_found, p7_truth, p9_found, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages(table(spark, folder, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p7_found, p7_truth, p8_found, p9_found, p9_mix, p9_shares, p10_found)}
 
 _USABLE = {
     **{f: f"lower(trim({f})) NOT IN ('', '-', 'n/a', 'tbd', 'unknown', 'not available', 'null', 'none', 'na', 'nil')" for f in ("brand", "item_name", "flavour", "ingredients_raw")},
