@@ -114,11 +114,12 @@ class NameMatcher:
                 return max(found, key=lambda m: (m[1] - m[0], -m[0]))[2]
         words = [w for w in unleeted(plain).split() if w not in _AROUND]
         own = [w for w in words if w not in self.common and not (len(w) >= 5 and self._near_common(w))]
-        tries = dict.fromkeys(("".join(words), "".join(own), *(w for w in own if len(w) >= 5)))
+        whole = ("".join(words), "".join(own))
         best: tuple[int, int, str, str] | None = None
-        for attempt in tries:
+        for attempt in dict.fromkeys((*whole, *(w for w in own if len(w) >= 5))):
             for form in self._candidates(attempt):
-                most = allowed_edits(max(len(form), len(attempt)))
+                # one word of several may be half of a name that was cut in two
+                most = min(allowed_edits(max(len(form), len(attempt))), 2 if attempt in whole else 1)
                 far = edits(attempt, form, most)
                 if far <= most:
                     rank = (far, -len(form), form, self.squeezed[form])
