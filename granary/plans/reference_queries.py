@@ -280,7 +280,7 @@ def latest_run_per_source(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "sources").select("source_id").join(latest, "source_id", "left")
 
 
-@query("""WITH n AS (SELECT DISTINCT label_id AS id, trim(regexp_replace(lower(strip_accents(brand)), '[^a-z0-9]+', ' ', 'g')) AS b, trim(regexp_replace(lower(strip_accents(item_name)), '[^a-z0-9]+', ' ', 'g')) AS n FROM label_products),
+@query("""WITH n AS (SELECT DISTINCT label_id AS id, trim(regexp_replace(lower(strip_accents(brand)), '[^a-z0-9]+', ' ', 'g')) AS b, trim(regexp_replace(replace(lower(strip_accents(item_name)), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS n FROM label_products),
 m AS (SELECT DISTINCT -listing_id AS id, trim(regexp_replace(lower(strip_accents(regexp_replace(brand, '[™®©]', '', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS b, trim(regexp_replace(replace(lower(strip_accents(regexp_replace(item_name, '[™®©]', '', 'g'))), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS n FROM listings)
 SELECT x.id AS left_id, y.id AS right_id, CASE WHEN x.n = y.n THEN 92 ELSE 78 END AS score
 FROM n x JOIN m y ON x.b = y.b AND (x.n = y.n OR starts_with(x.n, y.n || ' ') OR starts_with(y.n, x.n || ' ')) WHERE x.b <> '' AND x.n <> '' AND y.n <> ''""")
@@ -625,9 +625,13 @@ def quantity_parse(spark: SparkSession, folder: str) -> DataFrame:
     return said.select("label_id", "q.grams", "q.millilitres").distinct()
 
 
+def _positive(column: str) -> str:
+    return f"coalesce(try_cast(nullif(regexp_extract(lower(trim({column})), '{_QUANTITY}', 1), '') AS DOUBLE) > 0, false)"
+
+
 @query(f"""SELECT DISTINCT label_id, CASE WHEN lower(net_quantity_unit) IN ('ml', 'cl', 'dl', 'l', 'millilitre', 'milliliter', 'litre', 'liter') THEN 'per_100ml' WHEN lower(net_quantity_unit) IN ('g', 'kg', 'gram', 'grams', 'kilogram', 'kilograms') THEN 'per_100g'
-  WHEN regexp_matches(regexp_extract(lower(trim(net_quantity_text)), '{_QUANTITY}', 2), '^(millilit|centilit|decilit|lit|ml|cl|dl|l$)') THEN 'per_100ml' WHEN regexp_extract(lower(trim(net_quantity_text)), '{_QUANTITY}', 2) <> '' THEN 'per_100g'
-  WHEN regexp_matches(regexp_extract(lower(trim(serving_size_text)), '{_QUANTITY}', 2), '^(millilit|centilit|decilit|lit|ml|cl|dl|l$)') THEN 'per_100ml' ELSE 'per_100g' END AS basis FROM label_products""")
+  WHEN {_positive('net_quantity_text')} AND regexp_matches(regexp_extract(lower(trim(net_quantity_text)), '{_QUANTITY}', 2), '^(millilit|centilit|decilit|lit|ml|cl|dl|l$)') THEN 'per_100ml' WHEN {_positive('net_quantity_text')} THEN 'per_100g'
+  WHEN {_positive('serving_size_text')} AND regexp_matches(regexp_extract(lower(trim(serving_size_text)), '{_QUANTITY}', 2), '^(millilit|centilit|decilit|lit|ml|cl|dl|l$)') THEN 'per_100ml' ELSE 'per_100g' END AS basis FROM label_products""")
 def basis_infer(spark: SparkSession, folder: str) -> DataFrame:
     basis = nu.basis_of(F.lit(None).cast("string"), F.col("net_quantity_unit"), F.col("net_quantity_text"), F.col("serving_size_text"))
     return table(spark, folder, "label_products").select("label_id", basis.alias("basis")).distinct()
