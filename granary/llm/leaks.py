@@ -23,12 +23,13 @@ _UNIT_WORDS = (
     "centigram centigrams microgram micrograms litre litres liter liters millilitre millilitres ounce ounces pound pounds dram drams grain grains "
     "scruple scruples pennyweight pennyweights stone tonne tonnes calorie calories percent"
 ).split()
+_STRETCH = 2_000
 _NUMBER, _UNIT, _NAME = "#number", "#unit", "#name"
 
 
 def words_of(text: Column) -> Column:
     """Words as written, without punctuation; a word broken over two lines is one."""
-    joined = F.regexp_replace(F.regexp_replace(text, "­", ""), r"(?<=[\p{L}\p{N}\-])-[ \t]*\r?\n[ \t]*(?=[\p{L}\p{N}\-])", "")
+    joined = F.regexp_replace(F.regexp_replace(text, "\u00ad", ""), r"(?<=[\p{L}\p{N}\-])-[ \t]*\r?\n[ \t]*(?=[\p{L}\p{N}\-])", "")
     return F.filter(F.split(joined, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
@@ -52,9 +53,14 @@ def _windows(source: DataFrame, key: str, text: str, names: list[str], width: in
         F.transform("words", lambda w: F.hash(F.lower(w))).alias("literal"),
         F.transform(_templated(F.col("words"), names), lambda w: F.xxhash64(w)).alias("template"),
     )
-    starts = F.sequence(F.lit(1), F.col("size") - (width - 1))
-    each = F.transform(starts, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice("template", i, width)).alias("template"), F.slice("literal", i, width).alias("literal")))
-    return hashed.select(key, "size", F.explode(each).alias("w")).select(key, "size", "w.place", "w.template", "w.literal")
+    # long texts are first cut into stretches that overlap by a window, so that no row holds all windows of a text
+    last = F.col("size") - (width - 1)
+    stretch = hashed.select(key, "size", F.explode(F.sequence(F.lit(1), last, F.lit(_STRETCH))).alias("first"), "literal", "template").select(
+        key, "size", "first", *[F.slice(c, F.col("first"), F.lit(_STRETCH + width - 1)).alias(c) for c in ("literal", "template")]
+    )
+    inner = F.sequence(F.lit(1), F.size("literal") - (width - 1))
+    each = F.transform(inner, lambda i: F.struct((F.col("first") + i - 1).alias("place"), F.xxhash64(F.slice("template", i, width)).alias("template"), F.slice("literal", i, width).alias("literal")))
+    return stretch.select(key, "size", F.explode(each).alias("w")).select(key, "size", "w.place", "w.template", "w.literal")
 
 
 def item_names(items: DataFrame, text: str, most: int) -> list[str]:
