@@ -198,7 +198,8 @@ FLAT = "decision_id string, kind string, node_path string, parent_path string, p
 def flatten_payloads(decisions: DataFrame, *, id_column: str = "decision_id", payload: str = "payload", decided: str = "decided_at") -> DataFrame:
     """Ingredient nodes and bounding boxes of JSON payloads as flat rows with parent links.
 
-    Defined cases: a payload that is null, empty, cut short or no object gives no rows; JSON within a JSON string
+    Defined cases: a payload that is null, empty, cut short, nested deeper than the JSON parser goes or no object
+    gives no rows; JSON within a JSON string
     counts as JSON; a single object under normalizedIngredients, children or lines is an array of one; a null
     node keeps its place but gives no row, a node of plain text has it as its text; a position that isn't a number
     is -1; a box that isn't four numbers is none; a row delivered again counts once (the last decided of one id);
