@@ -75,6 +75,8 @@ class NameMatcher:
             owners[entry].add(key)
             if own and own != words:
                 owners[" ".join(own)].add(key)
+            if len(words) > 1 and len(words[0]) >= 5 and words[0] not in self.common:
+                owners[words[0]].add(key)  # the first word alone, if no other name has it
         self.forms = {form: min(keys) for form, keys in owners.items() if len(keys) == 1 or form in {e for e, _ in entries}}
         self.machine = ahocorasick.Automaton()
         for form, key in self.forms.items():

@@ -177,7 +177,7 @@ def score_pieces(documents: DataFrame, doc: str, text: str, model: Model) -> Dat
         for batch in batches:
             rows = []
             for key, value in zip(batch["doc"], batch["text"]):
-                pieces = list(pieces_of(classes_of(value)))
+                pieces = list(pieces_of(classes_of(value))) if value.strip() else []
                 means = [model.mean([t[0] for t in piece]) for piece in pieces]
                 rows += [(key, p[-1][2] - p[0][1], s) for p, s in zip(pieces, smoothed(means, [len(p) for p in pieces]))]
             yield pd.DataFrame(rows, columns=["doc", "chars", "surprise"]).astype({"chars": "int64", "surprise": "float64"})
