@@ -37,13 +37,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def unpivot_per_100(df: DataFrame, id_column: str, suffix: str = "_100g") -> DataFrame:
-    """(id, code, quantity) of all numeric columns with the suffix, but not those of values and units as typed; negatives are dropped."""
+    """(id, nutrient_code, quantity) of all numeric columns with the suffix, but not those of values and units as typed; negatives are dropped."""
     names = [c for c in df.columns if c.endswith(suffix) and not c.endswith((f"_value{suffix}", f"_unit{suffix}"))]
     if not names:
-        return df.select(F.col(id_column), F.lit("").alias("code"), F.lit(0.0).alias("quantity")).limit(0)
+        return df.select(F.col(id_column), F.lit("").alias("nutrient_code"), F.lit(0.0).alias("quantity")).limit(0)
     plain = df.select(id_column, *[F.col(c).cast("string").try_cast("double").alias(c) for c in names])
-    long = plain.unpivot([id_column], names, "code", "quantity").where(F.col("quantity") >= 0)
-    return long.withColumn("code", F.expr(f"left(code, length(code) - {len(suffix)})"))
+    long = plain.unpivot([id_column], names, "nutrient_code", "quantity").where(F.col("quantity") >= 0)
+    return long.withColumn("nutrient_code", F.expr(f"left(nutrient_code, length(nutrient_code) - {len(suffix)})"))
 
 
 def stage(records: DataFrame, key: str, content: list[str], issues: dict[str, object], order: str) -> tuple[DataFrame, DataFrame]:
