@@ -13,6 +13,7 @@ from granary.functions import times
 from granary.functions.jsons import changed_fields, compact, sorted_unique
 from granary.operators import ledgers, relational as rel, trees, upserts
 from granary.operators.entities import keyed, resolve_entities
+from granary.operators.label_rows import align_rows, lines_of_payloads
 from granary.session import broadcast_if_small, latest_by
 from granary.sources.files import histogram, manifest, stage
 from granary.sources.tables import table
@@ -693,3 +694,13 @@ def constraint_violations(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT label_id, observed_at, brand FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY observed_at DESC, brand DESC) AS nth FROM label_products) WHERE nth = 1""")
 def current_labels(spark: SparkSession, folder: str) -> DataFrame:
     return latest_by(table(spark, folder, "label_products").select("label_id", "observed_at", "brand"), ["label_id"], ["observed_at"])
+
+
+@query("""WITH p AS (SELECT DISTINCT decision_id AS id, CASE WHEN starts_with(payload, '"') THEN payload::JSON ->> '$' ELSE payload END AS j FROM evidence_decisions WHERE json_valid(payload)),
+e AS (SELECT id, unnest(from_json(coalesce(json_extract(j, '$.candidate.lines'), json_extract(j, '$.lines')), '["JSON"]')) AS l FROM p WHERE json_valid(j)),
+l AS (SELECT id, l ->> '$.text' AS t, TRY_CAST(l ->> '$.boundingBox.x' AS DOUBLE) AS x, TRY_CAST(l ->> '$.boundingBox.y' AS DOUBLE) + coalesce(TRY_CAST(l ->> '$.boundingBox.height' AS DOUBLE), 0) / 2 AS m FROM e),
+s AS (SELECT *, CASE WHEN m - lag(m) OVER w <= 12 THEN 0 ELSE 1 END AS b FROM l WHERE x IS NOT NULL AND m IS NOT NULL WINDOW w AS (PARTITION BY id ORDER BY m, x, t)),
+r AS (SELECT *, CAST(sum(b) OVER (PARTITION BY id ORDER BY m, x, t ROWS UNBOUNDED PRECEDING) - 1 AS INT) AS "row" FROM s)
+SELECT id, "row", string_agg(t, ' ' ORDER BY x, t) AS text FROM r GROUP BY id, "row" """)
+def label_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return align_rows(lines_of_payloads(table(spark, folder, "evidence_decisions"), "decision_id", "payload"), 12.0)

@@ -214,7 +214,7 @@ def test_files(spark, tmp_path):
     assert rows(staged.select("code", "name")) == [("2", "b")] and rows(excluded.select("code", "reasons")) == [("1", ["no_name"]), ("2", ["duplicate_source_key"])]
     assert files.manifest(staged, excluded, {"name": "name"}).first().asDict() == {"staged": 1, "with_name": 1, "excluded": 2, "duplicates": 1, "read": 3}
     (tmp_path / "a.jsonl").write_text('{"a": 1}\nnot json\n')
-    assert rows(files.read_jsonl(spark, str(tmp_path / "a.jsonl"), StructType().add("a", "int"))) == [(1, None), (None, "not json")]
+    assert rows(files.read_jsonl(spark, str(tmp_path / "a.jsonl"), StructType().add("a", "integer"))) == [(1, None), (None, "not json")]
     assert files.continuity_issues({"n": 100, "m": 10}, {"n": 80, "m": 10}, 0.1) == ["n"]
 
 
