@@ -27,8 +27,10 @@ def folded(text: str | None) -> str:
     """Lower case, without accents, look-alike letters and signs; runs of anything but letters and digits are one space."""
     if not text:
         return ""
-    plain = unicodedata.normalize("NFKD", _SIGNS.sub("", text).lower().translate(_LOOKALIKE))
-    plain = "".join(c for c in plain if not unicodedata.combining(c)).translate(_LOOKALIKE)
+    plain = text.lower()
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKD", _SIGNS.sub("", text).lower().translate(_LOOKALIKE))
+        plain = "".join(c for c in plain if not unicodedata.combining(c)).translate(_LOOKALIKE)
     return _GAP.sub(" ", plain.replace("'", "").replace("’", "")).strip()
 
 
@@ -39,8 +41,8 @@ def unleeted(text: str) -> str:
 
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours as one edit; ``most`` + 1 if it is more than ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
+        return most + 1  # one edit changes at most two letters of the set
     older: list[int] = []
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
