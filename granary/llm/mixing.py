@@ -47,9 +47,9 @@ def allocate(sized: DataFrame, targets: DataFrame, *, source: str = "source", sh
     """Per listed source: its size, target, certain whole copies of all its documents, the rest to sample, and whether it falls short."""
     wanted = targets.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("src")).agg(F.max(share).alias("share"), F.max(repeats).alias("most"))
     sizes = sized.groupBy("src").agg(F.sum("tokens").alias("size"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    joined = wanted.join(sizes, "src", "left").join(F.broadcast(total)).fillna(0, ["size", "share", "most"])  # total is one row
-    target = F.col("share") * F.col("total")
+    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).scalar()
+    joined = wanted.join(sizes, "src", "left").fillna(0, ["size", "share", "most"])
+    target = F.col("share") * total
     copies = F.when(F.col("size") > 0, F.least(F.floor(F.try_divide(target, F.col("size"))), F.col("most").cast("long"))).otherwise(F.lit(0))
     rest = F.when((F.col("copies") < F.col("most")) & (F.col("size") > 0), target - F.col("copies") * F.col("size")).otherwise(F.lit(0.0))
     return cut_lineage(joined.withColumn("target", target).withColumn("copies", copies).withColumn("rest", rest).withColumn("short", F.col("size") * F.col("most") < target))
@@ -129,10 +129,10 @@ def mix(
     chosen = sized.join(whole, "src").join(extra, "doc", "left").withColumn("copies", (F.col("whole") + F.coalesce("one", F.lit(0))).cast("int")).where(F.col("copies") > 0)
     chosen = cut_lineage(chosen.select(F.col("doc").alias("doc_id"), F.col("src").alias("source"), "tokens", "copies"))
     used = chosen.groupBy(F.col("source").alias("src")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
-    all_used = used.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("all_used"))
-    report = plan.join(used, "src", "left").join(F.broadcast(all_used)).select(
+    all_used = chosen.agg(F.coalesce(F.sum(F.col("tokens") * F.col("copies")), F.lit(0)).alias("all_used")).scalar()
+    report = plan.join(used, "src", "left").select(
         F.col("src").alias("source"), F.col("share").alias("target_share"), F.col("size").alias("source_tokens"), F.coalesce("used", F.lit(0)).alias("used_tokens"),
-        F.coalesce(F.try_divide(F.col("used"), F.col("all_used")), F.lit(0.0)).alias("actual_share"), "short",
+        F.coalesce(F.try_divide(F.col("used"), all_used), F.lit(0.0)).alias("actual_share"), "short",
     )
     return chosen, report
 
