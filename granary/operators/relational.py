@@ -91,5 +91,6 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     """One page of a total order, with the total and the number of pages."""
     if number < 1 or not 1 <= size <= 100:
         raise ValueError("a page starts at 1 and has 1 to 100 rows")
-    total = df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
-    return df.orderBy(*order).offset((number - 1) * size).limit(size).join(F.broadcast(total))  # total is one row
+    total = df.agg(F.count("*").alias("total")).scalar()
+    shown = df.orderBy(*order).offset((number - 1) * size).limit(size)
+    return shown.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))

@@ -63,8 +63,8 @@ def stage(records: DataFrame, key: str, content: list[str], issues: dict[str, ob
 def manifest(staged: DataFrame, excluded: DataFrame, required: dict[str, str]) -> DataFrame:
     """One row of run counts and, per required column, how many staged rows have it."""
     have = staged.agg(F.count("*").alias("staged"), *[F.count(c).alias(f"with_{name}") for name, c in required.items()])
-    out = excluded.agg(F.count("*").alias("excluded"), F.count_if(F.array_contains("reasons", "duplicate_source_key")).alias("duplicates"))
-    return have.join(F.broadcast(out)).withColumn("read", F.col("staged") + F.col("excluded"))  # one row each
+    out = excluded.agg(F.struct(F.count("*").alias("excluded"), F.count_if(F.array_contains("reasons", "duplicate_source_key")).alias("duplicates")).alias("out")).scalar()
+    return have.withColumn("out", out).select(*have.columns, "out.*").withColumn("read", F.col("staged") + F.col("excluded"))
 
 
 def continuity_issues(previous: dict, current: dict, most_drop: float) -> list[str]:
