@@ -704,3 +704,87 @@ r AS (SELECT *, CAST(sum(b) OVER (PARTITION BY id ORDER BY m, x, t ROWS UNBOUNDE
 SELECT id, "row", string_agg(t, ' ' ORDER BY x, t) AS text FROM r GROUP BY id, "row" """)
 def label_rows(spark: SparkSession, folder: str) -> DataFrame:
     return align_rows(lines_of_payloads(table(spark, folder, "evidence_decisions"), "decision_id", "payload"), 12.0)
+
+
+@query("""WITH a AS (SELECT product_id, bool_or(calories IS NOT NULL) AS kcal, bool_or(ingredients_raw IS NOT NULL) AS ing FROM source_records WHERE lower(trim(source_id)) = 'open_catalogue' GROUP BY 1),
+b AS (SELECT product_id, bool_or(calories IS NOT NULL) AS kcal, bool_or(ingredients_raw IS NOT NULL) AS ing FROM source_records WHERE lower(trim(source_id)) = 'open_catalogue_api' GROUP BY 1),
+j AS (SELECT coalesce(a.kcal, false) AS ak, coalesce(b.kcal, false) AS bk, coalesce(a.ing, false) AS ai, coalesce(b.ing, false) AS bi FROM a FULL JOIN b USING (product_id))
+SELECT 'calories' AS field, count(*) FILTER (ak) AS before, count(*) FILTER (ak OR bk) AS after, count(*) FILTER (bk AND NOT ak) AS delta FROM j
+UNION ALL SELECT 'ingredients', count(*) FILTER (ai), count(*) FILTER (ai OR bi), count(*) FILTER (bi AND NOT ai) FROM j""")
+def coverage_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    def have(source: str, tag: str) -> DataFrame:
+        of = _records(spark, folder).where(F.col("source_id") == source)
+        return of.groupBy("product_id").agg(F.bool_or(F.col("calories").isNotNull()).alias(f"calories_{tag}"), F.bool_or(F.col("ingredients_raw").isNotNull()).alias(f"ingredients_{tag}"))
+
+    both = have("open_catalogue", "a").join(have("open_catalogue_api", "b"), "product_id", "full_outer").fillna(False)
+    counts = both.agg(*[F.struct(F.lit(f).alias("field"), F.count_if(F.col(f"{f}_a")).alias("before"), F.count_if(F.col(f"{f}_a") | F.col(f"{f}_b")).alias("after"), F.count_if(F.col(f"{f}_b") & ~F.col(f"{f}_a")).alias("delta")).alias(f) for f in ("calories", "ingredients")])
+    return counts.select(F.inline(F.array("calories", "ingredients")))
+
+
+@query("""WITH asked AS (SELECT DISTINCT label_id FROM label_products), done AS (SELECT DISTINCT label_id FROM nutrient_values WHERE basis IS NOT NULL AND basis NOT IN ('', 'unknown'))
+SELECT label_id, EXISTS (SELECT 1 FROM done d WHERE d.label_id = a.label_id) AS cached FROM asked a""")
+def resume_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """What a resumed run takes from its cache, and what it still has to fetch: a semi and an anti join."""
+    asked = table(spark, folder, "label_products").select("label_id").distinct()
+    done = table(spark, folder, "nutrient_values").where(F.col("basis").isNotNull() & ~F.col("basis").isin("", "unknown")).select("label_id").distinct()
+    cached = asked.join(done, "label_id", "left_semi").withColumn("cached", F.lit(True))
+    return cached.unionByName(asked.join(done, "label_id", "left_anti").withColumn("cached", F.lit(False)))
+
+
+@query("""SELECT candidate_hash, count(DISTINCT product_id) AS ids, min(product_id) AS first_id FROM evidence_decisions GROUP BY candidate_hash""")
+def asset_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Union of keyed assets: a key with more than one id is a collision."""
+    return table(spark, folder, "evidence_decisions").groupBy("candidate_hash").agg(F.countDistinct("product_id").alias("ids"), F.min("product_id").alias("first_id"))
+
+
+@query(f"""WITH {_RECORDS}, v AS (SELECT product_id, calories, protein_grams, serving_size_grams, min(record_id) AS keeper FROM records WHERE status = 'verified' GROUP BY ALL)
+SELECT r.record_id, v.keeper FROM records r JOIN v ON v.product_id = r.product_id AND v.calories IS NOT DISTINCT FROM r.calories AND v.protein_grams IS NOT DISTINCT FROM r.protein_grams AND v.serving_size_grams IS NOT DISTINCT FROM r.serving_size_grams
+WHERE r.record_id <> v.keeper""")
+def redundant_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that say exactly what a verified one of the product says, null being a value: null-safe equality on all facts."""
+    records = _records(spark, folder)
+    facts = ["calories", "protein_grams", "serving_size_grams"]
+    held = records.where(F.col("status") == "verified").groupBy("product_id", *facts).agg(F.min("record_id").alias("keeper"))
+    same = F.col("r.product_id") == F.col("v.product_id")
+    for f in facts:
+        same = same & F.col(f"r.{f}").eqNullSafe(F.col(f"v.{f}"))
+    return records.alias("r").join(held.alias("v"), same & (F.col("r.record_id") != F.col("v.keeper"))).select("record_id", "keeper")
+
+
+@query(f"""WITH {_RECORDS}, ok AS (SELECT * FROM records WHERE status = 'verified' AND calories IS NOT NULL AND protein_grams IS NOT NULL),
+clash AS (SELECT product_id FROM ok GROUP BY 1 HAVING (max(calories) - min(calories)) / greatest(max(calories), 1) > 0.15 OR (max(protein_grams) - min(protein_grams)) / greatest(max(protein_grams), 1) > 0.15)
+SELECT product_id, min(record_id) AS record_id FROM ok WHERE product_id NOT IN (SELECT product_id FROM clash) GROUP BY 1""")
+def accepted_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """One accepted record per product, none for products whose accepted records disagree."""
+    accepted = _records(spark, folder).where((F.col("status") == "verified") & F.col("calories").isNotNull() & F.col("protein_grams").isNotNull())
+    clash = ledgers.cross_conflict(accepted, ["product_id"], ["calories", "protein_grams"], 0.15).where("conflict")
+    return accepted.join(clash, "product_id", "left_anti").groupBy("product_id").agg(F.min("record_id").alias("record_id"))
+
+
+@query("""WITH n AS (SELECT DISTINCT label_id AS id, trim(regexp_replace(lower(strip_accents(brand)), '[^a-z0-9]+', ' ', 'g')) AS b, trim(regexp_replace(replace(lower(strip_accents(item_name)), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS n FROM label_products),
+m AS (SELECT DISTINCT -listing_id AS id, trim(regexp_replace(lower(strip_accents(regexp_replace(brand, '[™®©]', '', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS b, trim(regexp_replace(replace(lower(strip_accents(regexp_replace(item_name, '[™®©]', '', 'g'))), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS n FROM listings),
+c AS (SELECT x.id AS left_id, y.id AS right_id, CASE WHEN x.n = y.n THEN 92 ELSE 78 END AS score FROM n x JOIN m y ON x.b = y.b AND (x.n = y.n OR starts_with(x.n, y.n || ' ') OR starts_with(y.n, x.n || ' ')) WHERE x.b <> '' AND x.n <> '' AND y.n <> '')
+SELECT left_id, right_id, score, CAST(nth AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS nth FROM c) WHERE nth <= 8""")
+def best_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """At most eight candidates per label, best first: the report an operator sees."""
+    return rel.top_n(prefix_candidates(spark, folder), ["left_id"], [F.desc("score"), F.asc("right_id")], 8)
+
+
+@query("""WITH changes AS (SELECT run_id, count(DISTINCT trim(source_record_id)) AS listed, count(*) AS delivered FROM snapshot_index GROUP BY run_id)
+SELECT r.run_id, r.source_complete, coalesce(c.listed, 0) AS listed, coalesce(c.delivered, 0) - coalesce(c.listed, 0) AS repeated FROM ingestion_runs r LEFT JOIN changes c USING (run_id)""")
+def run_accounting(spark: SparkSession, folder: str) -> DataFrame:
+    per_run = table(spark, folder, "snapshot_index").groupBy("run_id").agg(F.countDistinct(F.trim("source_record_id")).alias("listed"), F.count("*").alias("delivered"))
+    runs = table(spark, folder, "ingestion_runs").select("run_id", "source_complete").join(per_run, "run_id", "left").fillna(0, ["listed", "delivered"])
+    return runs.select("run_id", "source_complete", "listed", (F.col("delivered") - F.col("listed")).alias("repeated"))
+
+
+@query("""WITH d AS (SELECT DISTINCT decision_id, source_id, source_record_key, source_content_hash, product_id, candidate_hash FROM evidence_decisions),
+cur AS (SELECT product_id, lower(trim(source_id)) AS source_id, arg_max(content_hash, (ingested_at, record_id)) AS h FROM source_records GROUP BY ALL)
+SELECT d.decision_id, 'rea_' || substr(sha256(d.decision_id || '|' || cur.h), 1, 24) AS new_id, cur.h AS content_hash FROM d JOIN cur USING (product_id, source_id) WHERE cur.h <> d.source_content_hash""")
+def reattestation_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions whose only drift is the source revision, with the id and revision they would be attested under."""
+    rows = table(spark, folder, "source_records").withColumn("source_id", F.lower(F.trim("source_id")))
+    current = rel.top1(rows, ["product_id", "source_id"], [F.col("ingested_at"), F.col("record_id")], ["content_hash"])
+    decisions = table(spark, folder, "evidence_decisions").select("decision_id", "source_id", "source_content_hash", "product_id").distinct()
+    drifted = decisions.join(current, ["product_id", "source_id"]).where(F.col("content_hash") != F.col("source_content_hash"))
+    return drifted.select("decision_id", tx.stable_id("rea_", F.concat_ws("|", "decision_id", "content_hash")).alias("new_id"), "content_hash")
