@@ -8,11 +8,11 @@ page is spam if more than half of its characters stand in flagged pieces.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,83 +107,99 @@ def pieces_of(tokens: list[tuple[str, int, int]]) -> Iterator[list[tuple[str, in
     yield from done
 
 
-def looks_like_prose(names: list[str]) -> bool:
-    """Whether a piece is taken for training: few words seen often just before, links, tags and signs."""
-    odd = sum(n in ("word2", "word3", "sign") for n in names)
-    return odd <= 0.15 * len(names) and sum(n in ("tag", "link", "price") for n in names) <= 1
+# Every class by its number; the start of a piece is a class of its own.
+NAMES = (*sorted(FUNCTION_WORDS), "word0", "word1", "word2", "word3", "inner", "number", "unit", "price", "tag", "link", "end", "line", "bracket", "quote", "sign", *_OWN_SIGNS, _START)
+NUMBER = {name: i for i, name in enumerate(NAMES)}
+_ODD = np.isin(NAMES, ("word2", "word3", "sign"))
+_LOUD = np.isin(NAMES, ("tag", "link", "price"))
+
+
+class Batch:
+    """The pieces of a batch of encoded documents, end to end: class codes, codes before them, pieces, their documents."""
+
+    def __init__(self, frame: pd.DataFrame):
+        held = [(key, sizes, chars, codes) for key, sizes, chars, codes in zip(frame["doc"], frame["sizes"], frame["chars"], frame["codes"]) if len(sizes)]
+        self.codes = np.frombuffer(b"".join(codes for *_, codes in held), np.uint16).astype(np.int64)
+        self.sizes = np.concatenate([np.asarray(sizes, np.int64) for _, sizes, _, _ in held] or [np.zeros(0, np.int64)])
+        self.chars = np.concatenate([np.asarray(chars, np.int64) for _, _, chars, _ in held] or [np.zeros(0, np.int64)])
+        self.docs = np.repeat([key for key, *_ in held], [len(sizes) for _, sizes, _, _ in held])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.before = np.roll(self.codes, 1)
+        self.before[self.first] = NUMBER[_START]
+
+    def per_piece(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.first) if len(self.first) else np.zeros(0)
+
+    def prose(self) -> np.ndarray:
+        """Which pieces are taken for training: few words seen often just before and few signs, one link, tag or price at most."""
+        return (self.per_piece(_ODD[self.codes].astype(np.int64)) <= 0.15 * self.sizes) & (self.per_piece(_LOUD[self.codes].astype(np.int64)) <= 1)
 
 
 class Model:
-    """Interpolated bigram model over the classes; at most (number of classes) ** 2 counts."""
+    """Interpolated bigram model over the classes, from at most len(NAMES) ** 2 counts of pairs of class numbers."""
 
-    def __init__(self, counts: dict[tuple[str, str], int]):
-        self.pairs = counts
-        self.first: Counter[str] = Counter()
-        self.second: Counter[str] = Counter()
+    def __init__(self, counts: dict[tuple[int, int], int]):
+        pairs = np.zeros((len(NAMES), len(NAMES)))
         for (a, b), n in counts.items():
-            self.first[a] += n
-            self.second[b] += n
-        self.total = sum(self.second.values()) or 1
-        self.kinds = len(self.second) + 1
-        self.memo: dict[tuple[str, str], float] = {}
-
-    def surprise(self, a: str, b: str) -> float:
-        if (a, b) not in self.memo:
-            single = (self.second[b] + 0.5) / (self.total + 0.5 * self.kinds)
-            pair = self.pairs.get((a, b), 0) / self.first[a] if self.first[a] else 0.0
-            self.memo[a, b] = -math.log(0.8 * pair + 0.2 * single)
-        return self.memo[a, b]
-
-    def mean(self, names: list[str], before: str = _START) -> float:
-        """Mean surprise of a piece, the logarithm of its perplexity."""
-        whole = 0.0
-        for name in names:
-            whole += self.surprise(before, name)
-            before = name
-        return whole / len(names)
-
-
-def train(documents: DataFrame, text: str) -> dict[tuple[str, str], int]:
+            pairs[a, b] += n
+        first, second = pairs.sum(axis=1, keepdims=True), pairs.sum(axis=0)
+        kinds = np.count_nonzero(second) + 1
+        single = (second + 0.5) / (max(second.sum(), 1) + 0.5 * kinds)
+        self.surprise = -np.log(0.8 * np.divide(pairs, first, out=np.zeros_like(pairs), where=first > 0) + 0.2 * single)
+
+    def smoothed(self, batch: Batch) -> np.ndarray:
+        """Mean surprise of each piece, averaged with its neighbours' of the same document by size, so that one odd sentence doesn't stand out."""
+        whole, size = batch.per_piece(self.surprise[batch.before, batch.codes]), batch.sizes.astype(float)
+        same = batch.docs[1:] == batch.docs[:-1]
+        total, weight = whole.copy(), size.copy()
+        total[1:] += np.where(same, whole[:-1], 0)
+        weight[1:] += np.where(same, size[:-1], 0)
+        total[:-1] += np.where(same, whole[1:], 0)
+        weight[:-1] += np.where(same, size[1:], 0)
+        return total / weight
+
+
+def encode(documents: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc, tokens and characters of each piece, and all class codes in two bytes each: texts are read this once."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, value in zip(batch["doc"], batch["text"]):
+                pieces = list(pieces_of(classes_of(value))) if value.strip() else []
+                codes = np.array([NUMBER[t[0]] for p in pieces for t in p], np.uint16).tobytes()
+                rows.append((key, [len(p) for p in pieces], [p[-1][2] - p[0][1] for p in pieces], codes))
+            yield pd.DataFrame(rows, columns=["doc", "sizes", "chars", "codes"])
+
+    texts = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
+    return texts.mapInPandas(read, "doc long, sizes array<int>, chars array<int>, codes binary")
+
+
+def train(encoded: DataFrame) -> dict[tuple[int, int], int]:
     """Class bigrams of the prose of all documents, counted within each task before they are added up."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs: Counter[tuple[str, str]] = Counter()
-        for batch in batches:
-            for value in batch["text"]:
-                for piece in pieces_of(classes_of(value)):
-                    names = [t[0] for t in piece]
-                    if looks_like_prose(names):
-                        pairs.update(zip([_START, *names], names))
-        yield pd.DataFrame([(a, b, n) for (a, b), n in pairs.items()], columns=["a", "b", "n"]).astype({"n": "int64"})
-
-    texts = documents.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
-    counted = texts.mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        pairs = np.zeros(len(NAMES) ** 2, np.int64)
+        for frame in batches:
+            batch = Batch(frame)
+            kept = np.repeat(batch.prose(), batch.sizes)
+            pairs += np.bincount((batch.before * len(NAMES) + batch.codes)[kept], minlength=len(pairs))
+        seen = np.flatnonzero(pairs)
+        yield pd.DataFrame({"a": seen // len(NAMES), "b": seen % len(NAMES), "n": pairs[seen]})
+
+    counted = encoded.mapInPandas(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     return {(r.a, r.b): r.n for r in counted.collect()}  # at most (number of classes) ** 2 rows
 
 
-def smoothed(scores: list[float], sizes: list[int]) -> list[float]:
-    """Each score averaged with its neighbours', by size, so that one odd sentence doesn't stand out."""
-    out = []
-    for i in range(len(scores)):
-        near = range(max(0, i - 1), min(len(scores), i + 2))
-        out.append(sum(scores[j] * sizes[j] for j in near) / sum(sizes[j] for j in near))
-    return out
-
-
-def score_pieces(documents: DataFrame, doc: str, text: str, model: Model) -> DataFrame:
+def score_pieces(encoded: DataFrame, model: Model) -> DataFrame:
     """doc, chars, surprise of each piece."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, value in zip(batch["doc"], batch["text"]):
-                pieces = list(pieces_of(classes_of(value))) if value.strip() else []
-                means = [model.mean([t[0] for t in piece]) for piece in pieces]
-                rows += [(key, p[-1][2] - p[0][1], s) for p, s in zip(pieces, smoothed(means, [len(p) for p in pieces]))]
-            yield pd.DataFrame(rows, columns=["doc", "chars", "surprise"]).astype({"chars": "int64", "surprise": "float64"})
+        for frame in batches:
+            batch = Batch(frame)
+            yield pd.DataFrame({"doc": batch.docs.astype(np.int64), "chars": batch.chars, "surprise": model.smoothed(batch)})
 
-    texts = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInPandas(score, "doc long, chars long, surprise double")
+    return encoded.mapInPandas(score, "doc long, chars long, surprise double")
 
 
 def spam_pages(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", deviations: float = 3.5, share: float = 0.45) -> DataFrame:
@@ -192,14 +208,14 @@ def spam_pages(documents: DataFrame, *, doc: str = "doc_id", text: str = "text",
     A piece is flagged if its mean surprise, smoothed over its neighbours, is farther than ``deviations`` robust
     standard deviations (from the median absolute deviation over the pieces of all documents) from the median, on
     either side. ``share`` is a little below a half because single pieces of such pages pass for prose. The model
-    is one table of at most (number of classes) squared counts; texts are read twice and never shuffled, only one
+    is one table of at most (number of classes) squared counts; texts are read once and never shuffled, only one
     small row per piece is.
 
     Defined cases: null, empty and blank texts are no spam; a text of one piece is judged by it; of a repeated id
     all rows count together; null ids give no row; without any prose the result is empty; other columns are ignored.
     """
-    model = Model(train(documents, text))
-    pieces = cut_lineage(score_pieces(documents, doc, text, model))
+    encoded = cut_lineage(encode(documents, doc, text))
+    pieces = cut_lineage(score_pieces(encoded, Model(train(encoded))))
     middle = pieces.agg(F.percentile_approx("surprise", 0.5, 10_000).alias("m")).first()["m"]
     if middle is None:
         return pieces.select(F.col("doc").alias("doc_id"), F.lit(0.0).alias("spam_share")).limit(0)

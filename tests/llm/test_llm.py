@@ -3,6 +3,8 @@
 import random
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from granary.llm.listings import flavour_key, quantity_of
 from granary.llm.mixing import allocate, mix, short_sources, sized_documents
 from granary.llm.names import NameMatcher, edits, folded
 from granary.llm.resolve import product_pairs, same_products
-from granary.llm.spam import Model, classes_of, pieces_of, spam_pages
+from granary.llm.spam import NAMES, NUMBER, Batch, Model, classes_of, pieces_of, spam_pages
 from granary.llm.survivors import claims_of, discover_truth, observed_time, surviving_values
 
 T = datetime(2026, 1, 1)
@@ -264,5 +266,16 @@ def test_pieces_cover_the_text_and_the_model_is_bounded():
     tokens = classes_of(text)
     assert [t for p in pieces_of(tokens) for t in p] == tokens
     assert all(a[2] <= b[1] for a, b in zip(tokens, tokens[1:]))
-    model = Model({("<s>", "the"): 3, ("the", "word0"): 3})
-    assert model.surprise("the", "word0") < model.surprise("the", "tag") < 20
+    model = Model({(NUMBER["<s>"], NUMBER["the"]): 3, (NUMBER["the"], NUMBER["word0"]): 3})
+    assert model.surprise[NUMBER["the"], NUMBER["word0"]] < model.surprise[NUMBER["the"], NUMBER["tag"]] < 20
+    assert model.surprise.shape == (len(NAMES), len(NAMES)) and len(NAMES) < 1_000
+
+
+def test_smoothing_stays_within_a_document():
+    frame = pd.DataFrame({"doc": [1, 2, 3], "sizes": [[2, 1], [], [1]], "chars": [[5, 3], [], [4]], "codes": [np.array([NUMBER["the"], NUMBER["word0"], NUMBER["tag"]], np.uint16).tobytes(), b"", np.array([NUMBER["tag"]], np.uint16).tobytes()]})
+    batch, model = Batch(frame), Model({(NUMBER["<s>"], NUMBER["the"]): 3, (NUMBER["the"], NUMBER["word0"]): 3})
+    start = NUMBER["<s>"]
+    words = model.surprise[start, NUMBER["the"]] + model.surprise[NUMBER["the"], NUMBER["word0"]]
+    tag = model.surprise[start, NUMBER["tag"]]
+    assert model.smoothed(batch) == pytest.approx([(words + tag) / 3, (words + tag) / 3, tag])
+    assert list(batch.docs) == [1, 1, 3] and list(batch.prose()) == [True, True, True]
