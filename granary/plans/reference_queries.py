@@ -84,13 +84,13 @@ def _best(spark: SparkSession, folder: str) -> DataFrame:
   FROM best WHERE coalesce(contains(lower(item_name), 'protein'), false)
 )
 SELECT *, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / 50.0) AS BIGINT) AS pages
-FROM found ORDER BY density DESC NULLS LAST, item_name NULLS FIRST, product_id LIMIT 50 OFFSET 50""")
+FROM found ORDER BY density DESC NULLS LAST, item_name NULLS FIRST, product_id LIMIT 50""")
 def catalog_search(spark: SparkSession, folder: str) -> DataFrame:
     found = rel.search(_best(spark, folder), "protein", ["item_name"])
     usable = (F.col("calories") > 0) & (F.col("protein_grams") * 4 <= F.col("calories"))
     density = F.when(usable, F.round(F.col("protein_grams") * 100 / F.col("calories"), 6))
     shown = found.select("product_id", "record_id", "brand", "item_name", "status", density.alias("density"))
-    return rel.page(shown, [F.desc_nulls_last("density"), F.asc_nulls_first("item_name"), F.asc("product_id")], 2, 50)
+    return rel.page(shown, [F.desc_nulls_last("density"), F.asc_nulls_first("item_name"), F.asc("product_id")], 1, 50)
 
 
 @query("""SELECT DISTINCT label_id, brand, item_name FROM label_products

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,25 @@ def local_session(name: str = "granary", cpus: str = "*", shuffle_partitions: in
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session, once, so that they need no path of their own to it."""
+    context = spark.sparkContext
+    if getattr(context, "_granary_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="granary-package-")  # on the driver, which serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, "granary_package.zip")
+    with zipfile.ZipFile(name, "w") as bundle:
+        for place, _, files in os.walk(home):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    whole = os.path.join(place, file)
+                    bundle.write(whole, os.path.relpath(whole, os.path.dirname(home)))
+    context.addPyFile(name)
+    context._granary_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder all executors share and read it from there.
 

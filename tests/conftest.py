@@ -5,12 +5,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from granary.session import local_session  # noqa: E402
+from granary.session import local_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", "4", 4)
+    ship_package(session)
     yield session
     session.stop()
 
