@@ -198,6 +198,9 @@ def net(spark, text=None, number=None, unit=None):
         ((None, 250.0, "furlong"), None),
         ((None, float("nan"), "g"), None),
         ((None, None, "g"), None),
+        (("1," * 50_000 + "1 g",), None),
+        (("9" * 50_000 + " g",), None),
+        (("word " * 50_000 + "7 g",), ("g", 7_000)),
     ],
 )
 def test_net_quantity(spark, given_, want):
