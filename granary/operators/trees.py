@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from granary.functions.text import normalize_text
+from granary.functions.text import clean_tag, normalize_text
 from granary.session import cut_lineage
 
 
@@ -72,6 +73,21 @@ def ingredient_nodes(df: DataFrame, id_column: str, text: str, ampersands: bool
     return nodes.withColumn("name", F.nullif(name, F.lit(""))).withColumn("percentage", F.when(said <= 100, said))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _top_level(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: split_top_level(t) if t is not None else None)
+
+
+def declared_allergens(df: DataFrame, id_column: str, contains: str, traces: str) -> DataFrame:
+    """(id, name, declaration) of every part of two allergen texts outside brackets; what is in brackets belongs to its part's name."""
+
+    def parts(column: str, kind: str) -> DataFrame:
+        said = df.where(F.col(column).isNotNull()).select(F.col(id_column).alias("id"), F.explode(_top_level(F.col(column))).alias("part"))
+        return said.select("id", clean_tag(F.col("part")).alias("name"), F.lit(kind).alias("declaration"))
+
+    return allergen_declarations(parts(contains, "contains").unionByName(parts(traces, "may_contain")))
+
+
 def allergen_declarations(parts: DataFrame) -> DataFrame:
     """(id, name, declaration) from (id, name, declaration) rows of contains, may_contain and source_tag.
 

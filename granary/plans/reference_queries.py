@@ -601,6 +601,12 @@ def allergen_declarations(spark: SparkSession, folder: str) -> DataFrame:
     return trees.allergen_declarations(parts("contains_raw", "contains").unionByName(parts("traces_raw", "may_contain")))
 
 
+@query(None)
+def allergen_declarations_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every field, also those with brackets or numbered parts, split and named as the reference does."""
+    return trees.declared_allergens(_labels(spark, folder), "label_id", "contains_raw", "traces_raw")
+
+
 # --- text ----------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 from datetime import datetime
 from pathlib import Path
 
@@ -190,6 +191,29 @@ def test_trees(spark):
     assert rows(trees.allergen_declarations(parts)) == [(1, "egg", "source_tag"), (1, "milk", "contains")]
 
 
+def test_allergens_of_bracketed_and_numbered_fields(spark, tmp_path):
+    texts = [
+        ("a", "(1) celery, (2) fish", "nuts (almond, cashew); sesame"), ("b", '["Tree nuts", "Peanuts"]', "en:tree-nuts, en:milk"), ("c", "milk & soy", "R-& D, milk & soy"),
+        ("d", None, ""), ("e", "egg, egg, ,", "(none) ] a, b"), ("c", "milk & soy", "R-& D, milk & soy"),
+    ]
+    spark.createDataFrame(texts, "label_id string, contains_raw string, traces_raw string").write.parquet(str(tmp_path / "label_products.parquet"))
+
+    def brute(text):
+        depth, cuts = 0, [-1]
+        for i, c in enumerate(text or ""):
+            depth = depth + (c in "([") if c not in ")]" else max(0, depth - 1)
+            if depth == 0 and (c in ",;" or c == "&" and not text[cuts[-1] + 1 : i].rstrip().endswith("-")):
+                cuts.append(i)
+        parts = [(text or "")[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], None])]
+        plain = [re.sub("^[a-z]{2}:", "", p.strip(), flags=re.I).replace("-", " ").lower().replace("&", " and ") for p in parts]
+        return {" ".join(re.findall("[a-z0-9]+", p)) for p in plain} - {""}
+
+    want = {(k, n, kind) for k, *both in texts for text, kind in zip(both, ("contains", "may_contain")) for n in brute(text)}
+    found = rows(QUERIES["allergen_declarations_nested"](spark, str(tmp_path)))
+    assert found == sorted(want, key=str)
+    assert {("a", "1 celery", "contains"), ("a", "2 fish", "contains"), ("a", "nuts almond cashew", "may_contain"), ("b", "tree nuts peanuts", "contains"), ("b", "milk", "may_contain")} <= set(found)
+
+
 def test_pages(spark):
     ld = '<script type="application/ld+json">{"@graph": [{"@type": "ProductGroup", "hasVariant": [{"@type": "Product", "name": "A", "brand": {"name": "B"}, "gtin13": "1"}, {"@type": "Offer"}]}]}</script>'
     micro = '<div itemprop="name">Tea &amp; Oats</div><meta itemprop="sku" content="s1">'
