@@ -111,12 +111,13 @@ def quantity_of(title: str, net: float | None) -> tuple[Quantity, str]:
 
 @dataclass
 class Vocabulary:
-    """What is learned from all listings: brand names, product lines, flavours and ordinary words of titles."""
+    """What is learned from all listings: brand names, product lines, flavours, ordinary words of titles and words that come beside lines."""
 
     brands: list[tuple[str, str]] = field(default_factory=list)
     lines: list[str] = field(default_factory=list)
     flavours: list[str] = field(default_factory=list)
     plain_words: list[str] = field(default_factory=list)
+    beside: list[str] = field(default_factory=list)
 
 
 class Reader:
@@ -126,9 +127,12 @@ class Reader:
         self.flavours = frozenset(known.flavours)
         self.widest = max((len(f.split()) for f in known.flavours), default=1)
         self.plain = frozenset(known.plain_words) | TYPE_WORDS | frozenset(w for f in known.flavours for w in f.split())
+        self.named = frozenset(w for _, n in known.brands for w in unleeted(folded(n)).split()) - self.lines
+        self.explained = self.plain | self.named | frozenset(known.beside)
         self.near: dict[str, str | None] = {}
 
-    def read(self, brand: str | None, title: str | None, flavour: str | None, net: float | None) -> tuple[str | None, str | None, str | None, str | None, Quantity]:
+    def read(self, brand: str | None, title: str | None, flavour: str | None, net: float | None) -> tuple[str | None, str | None, str | None, str | None, Quantity, str | None]:
+        """Brand, line, type, flavour and quantity; last the words that stand for the line if it may be a typo of several."""
         said, rest = quantity_of(title or "", net)
         if flavour and said.low is None:
             more, _ = quantity_of(flavour, None)
@@ -145,7 +149,18 @@ class Reader:
             maker = self._brand_in(rest, line)
         if line is None:
             line = self._line([w for w in words_of(brand) if not w.isdigit()]) if brand else None
-        return maker, line, kind or self._odd_type(words, line), taste or in_title, said
+        own = self._own_words(words, brand, maker) if line is None else None
+        if own and not any(edits(unleeted(w), name, 2) <= 2 for w in own for name in self.lines):
+            line = f"?{' '.join(own)}"
+        return maker, line, kind or self._odd_type(words, line), taste or in_title, said, f"?{' '.join(own)}" if own else None
+
+    def _own_words(self, words: list[str], brand: str | None, maker: str | None) -> list[str]:
+        """The words of a title that no brand, type, flavour or ordinary word explains; the short ones only if there are no others."""
+        said = unleeted(folded(brand)).split()
+        said = {*said, "".join(said)}
+        left = sorted({w for w in words if len(w) >= 3 and w not in self.explained and not any(edits(unleeted(w), b, 2) <= allowed_edits(len(b)) for b in said)})
+        left = [w for w in left if maker is None or self.brands.match(w) != maker]
+        return [w for w in left if len(w) >= 5] or left
 
     def _flavour_in(self, words: list[str]) -> tuple[str | None, list[str]]:
         """The longest known flavour in neighbouring words, and the words without it."""
@@ -163,7 +178,7 @@ class Reader:
                 return w
         best: tuple[int, str] | None = None
         for w in [*words, *("".join(p) for p in zip(words, words[1:]))]:
-            if len(w) >= 5 and w not in self.plain and (name := self._near_line(w)):
+            if len(w) >= 5 and w not in self.plain and w not in self.named and (name := self._near_line(w)):
                 rank = (edits(unleeted(w), name, 3), name)
                 best = rank if best is None else min(best, rank)
         return best[1] if best else None

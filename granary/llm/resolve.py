@@ -35,7 +35,7 @@ ORDINARY = tuple(
 NO_BRAND = frozenset(("", "n a", "na", "none", "null", "nil", "unknown", "generic", "unbranded", "retail partner", "no brand", "not available", "not applicable", "tbd", "other", "others", "various", "imported", "local"))
 
 PROFILE = ["maker", "line", "kind", "taste", "size", "pieces"]
-_READ = "id long, maker string, line string, kind string, taste string, low double, high double, exact boolean, pieces int, total_low double, total_high double"
+_READ = "id long, maker string, line string, kind string, taste string, own string, low double, high double, exact boolean, pieces int, total_low double, total_high double"
 
 
 def bare_brand(text: str | None) -> str:
@@ -43,22 +43,19 @@ def bare_brand(text: str | None) -> str:
 
 
 def _frequent(values: DataFrame, column: str, least: int, most: int) -> list[tuple[str, int]]:
-    """Values of ``column`` with their weight (column n), most frequent first, from a weight of ``least`` on.
-
-    Where the whole weight is above ``most`` * ``least``, a value needs its ``most``-th part, so never more than
-    ``most`` values are sent to the driver.
-    """
-    counted = cut_lineage(values.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n")))
-    whole = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    rows = counted.where(F.col("n") >= max(least, -(-whole // most))).collect()
-    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (-r[1], r[0]))
+    """The ``most`` most frequent values of ``column`` with their weight (column n), from a weight of ``least`` on."""
+    counted = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = counted.orderBy(F.desc("n"), column).limit(most).collect()
+    return [(r[0], r[1]) for r in rows]
 
 
-def learn_vocabulary(listings: DataFrame, known: list[tuple[str, str]], rows: int, share: int = 5_000, brand_share: int = 20_000) -> Vocabulary:
+def learn_vocabulary(listings: DataFrame, known: list[tuple[str, str]], most_words: int = 200_000, most_flavours: int = 50_000, most_brands: int = 40_000) -> Vocabulary:
     """Product lines, flavours and brands outside the known list, as all listings use them.
 
-    A word or flavour counts from one in ``share`` listings on (three at least), an unlisted brand from one in
-    ``brand_share`` (two at least); so the vocabulary is bounded by these parameters, not by the input.
+    A word counts from three listings on, a flavour or an unlisted brand from two, however many listings there are;
+    what is bounded is how many values of each are sent to the driver, the most frequent first. A word that is
+    within two edits of a much more frequent line, brand or ordinary word is a typo of it, or a piece if that begins
+    or ends with it; such a word is no line here, but still tells listings apart (``Reader``).
     """
     names = NameMatcher(known)
 
@@ -75,21 +72,31 @@ def learn_vocabulary(listings: DataFrame, known: list[tuple[str, str]], rows: in
         return values.map(flavour_key)
 
     per_brand = listings.groupBy("brand").agg(F.count("*").alias("n"))
-    heads = _frequent(per_brand.select(unlisted("brand").alias("head"), "n"), "head", max(2, rows // brand_share), 2 * brand_share)
-    counts = dict(heads)
-    own = [h for h, n in heads if not any(h != o and counts[o] > 2 * n and edits(h, o, 2) <= 2 for o in counts)]
-    flavours = [f for f, _ in _frequent(listings.groupBy("flavour").agg(F.count("*").alias("n")).select(tasted("flavour").alias("f"), "n"), "f", max(2, rows // share), 10 * share)]
+    own: list[str] = []
+    counts: dict[str, int] = {}
+    for head, n in _frequent(per_brand.select(unlisted("brand").alias("head"), "n"), "head", 2, most_brands):
+        counts[head] = n
+        if not any(counts[o] > 2 * n and edits(head, o, 2) <= 2 for o in own):
+            own.append(head)
+    flavours = [f for f, _ in _frequent(listings.groupBy("flavour").agg(F.count("*").alias("n")).select(tasted("flavour").alias("f"), "n"), "f", 2, most_flavours)]
     words = listings.select("id", F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z]+"))).alias("word")).where(F.length("word") >= 5)
-    seen = _frequent(words.groupBy("word").agg(F.count("*").alias("n")), "word", max(3, rows // share), 40 * share)
+    seen = _frequent(words.groupBy("word").agg(F.count("*").alias("n")), "word", 3, most_words)
     brands = [*known, *((f"~{h}", h) for h in own)]
     plain = frozenset(ORDINARY) | TYPE_WORDS | {w for f in flavours for w in f.split()} | {w for _, n in brands for w in unleeted(folded(n)).split()}
     maker = NameMatcher(brands)
-    lines: list[str] = []
     often = dict(seen)
+    weight: dict[str, int] = {}
+    for key, name in brands:
+        weight[key] = max([weight.get(key, 0), *(often.get(w, 0) for w in unleeted(folded(name)).split() if w not in maker.common)])
+    told = [w for w in plain if len(w) >= 5 and w in often]
+    lines: list[str] = []
     for word, n in seen:
-        if word not in plain and flavour_key(word) not in flavours and maker.match(word) is None and not any(often[o] > 5 * n and edits(word, o, 2) <= 2 for o in lines):
+        if word in plain or flavour_key(word) in flavours or any(often[o] > 5 * n and (o.startswith(word) or o.endswith(word) or edits(word, o, 2) <= 2) for o in (*lines, *told)):
+            continue
+        if (key := maker.match(word)) is None or weight[key] < n:
             lines.append(word)
-    return Vocabulary(brands, _one_per_title(words, lines), flavours, list(ORDINARY))
+    alone = _one_per_title(words, lines)
+    return Vocabulary(brands, alone, flavours, list(ORDINARY), sorted(set(lines) - set(alone)))
 
 
 def _one_per_title(words: DataFrame, lines: list[str], most: float = 0.5) -> list[str]:
@@ -110,7 +117,7 @@ def _nearest_size(low: Column, high: Column, sizes: Column) -> Column:
 
 
 def read_profiles(listings: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """id and the six attributes of each listing; an attribute that isn't said is null."""
+    """id and the six attributes of each listing, and its own words in case no line is found; what isn't said is null."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(vocabulary)
@@ -118,15 +125,15 @@ def read_profiles(listings: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             rows = []
             for row in batch.itertuples(index=False):
                 net = None if row.net is None or row.net != row.net else float(row.net)
-                maker, line, kind, taste, said = reader.read(row.brand, row.title, row.flavour, net)
+                maker, line, kind, taste, said, own = reader.read(row.brand, row.title, row.flavour, net)
                 if maker is None and (bare := bare_brand(row.brand)) not in NO_BRAND:
                     maker = f"?{bare.replace(' ', '')}"
-                rows.append((row.id, maker, line, kind, taste, said.low, said.high, said.exact, said.count, said.total_low, said.total_high))
+                rows.append((row.id, maker, line, kind, taste, own, said.low, said.high, said.exact, said.count, said.total_low, said.total_high))
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
             yield frame.astype({"pieces": "Int32", "exact": "bool", "low": "float64", "high": "float64", "total_low": "float64", "total_high": "float64"})
 
     said = cut_lineage(listings.select("id", "brand", "title", "flavour", "net").mapInPandas(read, _READ))
-    said = said.select("id", "maker", "line", "kind", "taste", "exact", "pieces", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("low", "high", "total_low", "total_high")])
+    said = said.select("id", "maker", "line", "kind", "taste", "own", "exact", "pieces", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("low", "high", "total_low", "total_high")])
     # sizes of a type that at least one in a hundred of its exact statements has, and its pack counts likewise
     stated = said.where(F.col("exact") & F.col("kind").isNotNull()).groupBy("kind", F.round("low", 3).alias("size")).count()
     packed = said.where(F.col("pieces").isNotNull() & F.col("kind").isNotNull()).groupBy("kind", "pieces").count()
@@ -146,7 +153,7 @@ def read_profiles(listings: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     split = F.when(F.array_contains(sizes, whole) | (F.size(multiples) != 1), F.struct(whole.alias("size"), F.lit(1).alias("pieces"))).otherwise(multiples[0])
     size = F.when(F.col("low").isNotNull(), unit_said).when(F.col("pieces").isNotNull(), unit_by_count).when(total.isNotNull(), split["size"])
     count = F.when(F.col("low").isNotNull(), F.coalesce(pieces, F.lit(1))).when(F.col("pieces").isNotNull(), F.col("pieces")).when(total.isNotNull(), split["pieces"])
-    return said.select("id", "maker", "line", "kind", "taste", F.round(size, 1).alias("size"), count.cast("int").alias("pieces"))
+    return said.select("id", "maker", "line", "kind", "taste", "own", F.round(size, 1).alias("size"), count.cast("int").alias("pieces"))
 
 
 def _usual(counted: DataFrame, column: str, name: str, share: float = 0.01) -> DataFrame:
@@ -205,7 +212,8 @@ def same_products(
     """(listing_id, product): the listings that say enough, with the product each describes.
 
     Defined cases: a listing that says nowhere its flavour or its size describes no product and gives no row; the
-    same holds for one whose brand, line or type neither it nor a single richer profile says; without a pack count
+    same holds for one whose brand, line or type neither it nor a single richer profile says, where a title's words
+    that nothing else explains are a line of their own; without a pack count
     the net quantity decides, else it is one; of rows with one id the last observed, then last ingested counts; a
     null id gives no row; an empty table gives none; other columns are ignored.
     """
@@ -219,10 +227,10 @@ def same_products(
     )
     once = cut_lineage(once)
     known = canonical_names(brand_sources, "brand_source_id", "brand_name", "brand_aliases", max_entries)
-    said = cut_lineage(read_profiles(once, learn_vocabulary(once, known, once.count())).where(F.col("taste").isNotNull() & F.col("size").isNotNull()))
+    said = cut_lineage(read_profiles(once, learn_vocabulary(once, known)).where(F.col("taste").isNotNull() & F.col("size").isNotNull()))
     merged = merge_profiles(said.select(*PROFILE).distinct())
     same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in PROFILE]
-    whole = said.join(merged, same).where(_all_said([f"m_{c}" for c in PROFILE]))
+    whole = said.join(merged, same).withColumn("m_line", F.coalesce("m_line", "own")).where(_all_said([f"m_{c}" for c in PROFILE]))
     return whole.select(F.col("id").alias(id_column), F.concat_ws("|", *[f"m_{c}" for c in PROFILE]).alias("product"))
 
 

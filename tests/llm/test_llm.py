@@ -107,6 +107,26 @@ def test_same_products(spark, brands):
     assert rows(product_pairs(same_products(df.limit(0), brands))) == []
 
 
+def test_rare_lines_are_products_of_their_own(spark, brands):
+    lines = ["Voranis", "Ribala", "Thozantis"]
+    filler = [listing(1000 + i, "Killona Nutrition", f"{line} Mass Gainer {size} kg", taste) for i, (line, size, taste) in enumerate((line, size, taste) for line in lines for size in (1, 3, 5) for taste in ("Mocha", "Vanilla", "Banana"))]
+    cases = [
+        listing(1, "Genfifem", "Voranis Peanut Butter Crunchy 500g", "Vanilla"), listing(2, "Genfifem", "Voranis Peanut Butter Crunchy 500g", "Vanilla"),
+        listing(3, "Genfifem", "Kembulex Peanut Butter Crunchy 500g", "Vanilla"), listing(4, "Genfifem", "Kembulex Peanut Butter Crunchy 500g", "Vanilla"),
+        listing(5, "Genfifem", "Drozipan Peanut Butter Crunchy 500g", "Vanilla"), listing(6, "Genfifem", "Peanut Butter Crunchy 500g", "Vanilla"),
+    ]
+    pairs = {p for p in rows(product_pairs(same_products(spark.createDataFrame(filler + cases, LISTING), brands))) if p[1] < 100}
+    assert pairs == {(1, 2), (3, 4)}
+
+
+def test_lines_do_not_depend_on_the_number_of_listings(spark, brands):
+    lines = F.array(*map(F.lit, ("Voranis", "Ribala", "Thozantis", "Blemasor")))
+    many = spark.range(24_000).select((F.col("id") + 1000).alias("listing_id"), F.lit("Killona Nutrition").alias("brand"), F.concat(lines[(F.col("id") % 4).cast("int")], F.lit(" Mass Gainer 3 kg")).alias("item_name"), F.lit("Mocha").alias("flavour"), F.lit(None).cast("double").alias("net_quantity_grams"), F.lit(T).alias("observed_at"), F.lit(T).alias("ingested_at"))
+    few = [listing(i, "Genfifem", f"{name} Skyr 100 g", "Vanilla") for i, name in enumerate(("Kembulex", "Kembulex", "Kembulex", "Kembullex", "Voranis", "Vorannis", "Drozipan"), 1)]
+    found = same_products(spark.createDataFrame(few, LISTING).unionByName(many), brands).where("listing_id < 100")
+    assert rows(product_pairs(found)) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (5, 6)]
+
+
 def test_quantities_and_flavours():
     said, rest = quantity_of("Voranis 4 x 90g skyr", 0.36)
     assert (said.low, said.count) == (90.0, 4) and said.total_low < 360 < said.total_high and "90" not in rest
