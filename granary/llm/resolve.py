@@ -1,8 +1,8 @@
 """Listings that describe the same product, by generic merge resolution.
 
-Each listing is read into a profile of six attributes. Equal profiles merge; a profile that lacks an attribute, or
-is vague about its size, is blocked on what it does say and merges into the one richer profile that agrees with it.
-Merged profiles are blocked and matched again until no profile changes.
+Each listing is read into a profile of six attributes; a size given as a range is the nearest usual one in it. Equal
+profiles merge; one that lacks brand, line or type, any of them, is blocked on what it does say and merges into the
+complete profile that agrees with it, if there is a single one.
 """
 
 from __future__ import annotations
@@ -161,32 +161,31 @@ def _usual(counted: DataFrame, column: str, name: str, share: float = 0.01) -> D
     return counted.join(whole, "kind").where(F.col("count") >= share * F.col("all")).groupBy("kind").agg(F.array_sort(F.collect_set(column)).alias(name))
 
 
-def merge_profiles(profiles: DataFrame, max_rounds: int = 20) -> DataFrame:
+def merge_profiles(profiles: DataFrame) -> DataFrame:
     """(profile columns..., merged columns m_...) for each distinct profile, merged until nothing changes.
 
-    A profile is complete if all six attributes are said and its type is a known one. In each round an incomplete
-    profile is blocked on all attributes but one; if exactly one value of that one attribute stands in its block
-    among richer profiles, it takes that value. Ends when no profile changes; each change fills an attribute, so
-    it ends after at most six rounds.
+    A profile may lack any of type, line and maker; it is blocked on all it says. If all complete profiles of its
+    block agree in what it lacks, it takes that; one whose type is none of the known ones takes a known type
+    likewise. A profile so filled equals a complete one that was there, so no second round would find more.
     """
-    current = profiles.select(*[F.col(c).alias(f"p_{c}") for c in PROFILE], *PROFILE).withColumn("kind", F.when(~F.col("kind").startswith("other"), F.col("kind")))
-    current = cut_lineage(current)
-    for _ in range(max_rounds):
-        changed = current.limit(0)
-        taken = current
-        for lacking in ("kind", "line", "maker"):
-            rest = [c for c in PROFILE if c != lacking]
-            said = taken.where(F.col(lacking).isNotNull()).groupBy(*rest).agg(F.min(lacking).alias("least"), F.max(lacking).alias("greatest"))
-            poor = taken.where(F.col(lacking).isNull() & _all_said(rest))
-            filled = poor.join(said.where(F.col("least") == F.col("greatest")), rest).withColumn(lacking, F.col("least")).select(*current.columns)
-            changed = changed.unionByName(filled)
-        changed = cut_lineage(changed.dropDuplicates([f"p_{c}" for c in PROFILE]))
-        if changed.isEmpty():
-            break
-        same = [F.col(f"x.p_{c}").eqNullSafe(F.col(f"y.p_{c}")) for c in PROFILE]
-        kept = current.alias("x").join(changed.alias("y"), same, "left_anti")
-        current = cut_lineage(kept.unionByName(changed))
-    return current.select(*[f"p_{c}" for c in PROFILE], *[F.col(c).alias(f"m_{c}") for c in PROFILE]).withColumn("m_kind", F.coalesce("m_kind", "p_kind"))
+    current = cut_lineage(profiles.select(*[F.col(c).alias(f"p_{c}") for c in PROFILE], *PROFILE))
+    odd = F.col("kind").startswith("other")
+    gaps = F.concat_ws(" ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("kind", "line", "maker")])
+    gaps = F.when((gaps == "") & odd, F.lit("kind")).otherwise(gaps)
+    complete = current.where(_all_said(PROFILE))
+    filled = current.limit(0)
+    for (pattern,) in current.select(gaps.alias("gaps")).where("gaps <> ''").distinct().collect():
+        lacking = pattern.split()
+        rest = [c for c in PROFILE if c not in lacking]
+        richer = complete.where(~odd) if "kind" in lacking else complete
+        said = richer.groupBy(*rest).agg(F.min(F.struct(*lacking)).alias("least"), F.max(F.struct(*lacking)).alias("greatest"))
+        poor = current.where((gaps == pattern) & _all_said(rest)).drop(*lacking)
+        taken = poor.join(said.where(F.col("least") == F.col("greatest")), rest).withColumns({c: F.col("least")[c] for c in lacking})
+        filled = filled.unionByName(taken.select(*current.columns))
+    filled = cut_lineage(filled)
+    same = [F.col(f"x.p_{c}").eqNullSafe(F.col(f"y.p_{c}")) for c in PROFILE]
+    merged = current.alias("x").join(filled.alias("y"), same, "left_anti").unionByName(filled)
+    return merged.select(*[f"p_{c}" for c in PROFILE], *[F.col(c).alias(f"m_{c}") for c in PROFILE])
 
 
 def _all_said(columns: list[str]) -> Column:

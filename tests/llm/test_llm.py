@@ -13,7 +13,7 @@ from granary.llm.leaks import leaked_items
 from granary.llm.listings import flavour_key, quantity_of
 from granary.llm.mixing import allocate, mix, short_sources, sized_documents
 from granary.llm.names import NameMatcher, edits, folded
-from granary.llm.resolve import product_pairs, same_products
+from granary.llm.resolve import PROFILE, merge_profiles, product_pairs, same_products
 from granary.llm.spam import NAMES, NUMBER, Batch, Model, classes_of, pieces_of, spam_pages
 from granary.llm.survivors import claims_of, discover_truth, observed_time, surviving_values
 
@@ -119,6 +119,18 @@ def test_rare_lines_are_products_of_their_own(spark, brands):
     assert pairs == {(1, 2), (3, 4)}
 
 
+def test_profiles_with_several_gaps_merge(spark):
+    whole = [("m", "a", "skyr", "mint", 100.0, 1), ("m", "b", "skyr", "mint", 200.0, 1), ("k", "c", "skyr", "mint", 200.0, 1), ("k", "c", "other tea", "mint", 300.0, 1)]
+    poor = {
+        (None, None, "skyr", "mint", 100.0, 1): ("m", "a", "skyr"), (None, None, None, "mint", 100.0, 1): ("m", "a", "skyr"), ("m", None, None, "mint", 200.0, 1): ("m", "b", "skyr"),
+        (None, None, "skyr", "mint", 200.0, 1): (None, None, "skyr"), ("k", None, "other tea", "mint", 300.0, 1): ("k", "c", "other tea"), ("m", "a", "other pie", "mint", 100.0, 1): ("m", "a", "skyr"),
+        (None, "c", None, "mint", 300.0, 1): (None, "c", None), ("m", None, "skyr", "mint", 100.0, 1): ("m", "a", "skyr"),
+    }
+    merged = merge_profiles(spark.createDataFrame([*whole, *poor], "maker string, line string, kind string, taste string, size double, pieces int"))
+    found = {tuple(r[f"p_{c}"] for c in PROFILE): (r.m_maker, r.m_line, r.m_kind) for r in merged.collect()}
+    assert found == {w: w[:3] for w in whole} | poor
+
+
 def test_lines_do_not_depend_on_the_number_of_listings(spark, brands):
     lines = F.array(*map(F.lit, ("Voranis", "Ribala", "Thozantis", "Blemasor")))
     many = spark.range(24_000).select((F.col("id") + 1000).alias("listing_id"), F.lit("Killona Nutrition").alias("brand"), F.concat(lines[(F.col("id") % 4).cast("int")], F.lit(" Mass Gainer 3 kg")).alias("item_name"), F.lit("Mocha").alias("flavour"), F.lit(None).cast("double").alias("net_quantity_grams"), F.lit(T).alias("observed_at"), F.lit(T).alias("ingested_at"))
