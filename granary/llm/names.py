@@ -1,8 +1,9 @@
 """Matching a freely typed name with a bounded list of canonical names and aliases.
 
 An Aho-Corasick automaton over the normalised names finds embedded mentions, of which the longest non-overlapping
-ones count; a text without a mention goes to token-set similarity, where a token matches within two edits and
-words that many names share ('foods', 'mills') decide nothing by themselves.
+ones count; a text without a mention is compared by edits with the joined words of each name, then, against names of
+several own words, by token-set similarity: tokens match within the allowed edits, in any order, over the union of
+tokens. Words that many names share ('foods', 'mills') decide nothing by themselves.
 """
 
 from __future__ import annotations
@@ -92,6 +93,15 @@ class NameMatcher:
         for form in self.squeezed:
             for gram in self._grams(form):
                 self.grams[gram].append(form)
+        self.sets = sorted({(tuple(own), key) for e, key in entries if len(own := [w for w in e.split() if w not in self.common]) > 1})
+        self.tokens: dict[str, list[int]] = defaultdict(list)
+        for i, (own, _) in enumerate(self.sets):
+            for w in sorted(set(own)):
+                self.tokens[w].append(i)
+        self.token_grams: dict[str, list[str]] = defaultdict(list)
+        for token in self.tokens:
+            for gram in self._grams(token):
+                self.token_grams[gram].append(token)
         self.memo: dict[str, str | None] = {}
         self.most = memo
 
@@ -128,7 +138,39 @@ class NameMatcher:
                 if far <= most:
                     rank = (far, -len(form), form, self.squeezed[form])
                     best = rank if best is None else min(best, rank)
-        return best[3] if best else None
+        return best[3] if best else self._by_tokens(own)
+
+    def _by_tokens(self, own: list[str]) -> str | None:
+        """The name of several own words that most of the typed words and its own are shared with, in any order; None if two do equally well."""
+        if len(own) < 2 or not self.sets:
+            return None
+        near: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
+        for at, word in enumerate(own):
+            most = allowed_edits(len(word) + 2)
+            grams = self._grams(word)
+            shared = Counter(t for g in grams for t in self.token_grams.get(g, ()))
+            need = len(grams) - 3 * most
+            for token in self.tokens if need <= 0 else [t for t, n in shared.items() if n >= need]:
+                allowed = allowed_edits(max(len(word), len(token)))
+                if (far := edits(word, token, allowed)) <= allowed:
+                    for i in self.tokens[token]:
+                        near[i].append((far, at, token))
+        ranks = []
+        for i, hits in near.items():
+            typed: set[int] = set()
+            named: set[str] = set()
+            spoiled = 0
+            for far, at, token in sorted(hits):
+                if at not in typed and token not in named:
+                    typed.add(at)
+                    named.add(token)
+                    spoiled += far
+            both = len(named)
+            if both > 1 and (score := both / (len(set(self.sets[i][0])) + len(own) - both)) > 0.5:
+                ranks.append((-score, spoiled, self.sets[i][1]))
+        ranks.sort()
+        tied = len(ranks) > 1 and ranks[0][:2] == ranks[1][:2] and ranks[0][2] != ranks[1][2]
+        return ranks[0][2] if ranks and not tied else None
 
     def mentions(self, form: str) -> list[tuple[int, int, str]]:
         """Longest non-overlapping (start, end, key) of names embedded as whole words in a folded text."""

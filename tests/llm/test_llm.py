@@ -72,6 +72,12 @@ def test_matcher_against_brute_force():
         assert (found is None) == (far > 2) and (found is None or edits(typed, found, 3) == far)
 
 
+def test_names_of_several_words_match_in_any_order():
+    matcher = NameMatcher([("ar", "Amber River"), ("as", "Amber Stone Foods"), ("ol", "Old Harbour Lane"), ("x", "Kelba Foods"), ("y", "Zodrim Foods"), ("z", "Parnu Foods")])
+    typed = {"Rivr Ambr": "ar", "River Amber": "ar", "Ston Ambre Foods": "as", "Lane Harbuor Old": "ol", "Amber Foods Rivre Whey": "ar", "Harbour Whey Snack Ambr": None, "Amber Lane": None, "Foods": None}
+    assert {t: matcher.match(t) for t in typed} == typed
+
+
 def test_folding():
     assert folded("  Napézöm™  Foods®") == "napezom foods" and folded(None) == "" and edits("abcd", "abdc", 2) == 1
 
