@@ -460,7 +460,13 @@ def entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
 def upsert_precedence_ingredient(spark: SparkSession, folder: str) -> DataFrame:
     rows = _records(spark, folder).where(F.col("ingredients_raw").isNotNull()).join(_sources(spark, folder).select("source_id", "ingredient_authority"), "source_id", "left")
     ranked = rows.select("product_id", F.coalesce("ingredient_authority", F.lit(0)).alias("authority"), "ingested_at", "record_id", "ingredients_raw")
-    merged = upserts.upsert_total_order(ranked.limit(0), ranked, ["product_id"], ["authority", "ingested_at", "record_id"])
+    order = ["authority", "ingested_at", "record_id"]
+    records = table(spark, folder, "source_records")
+    first, last = records.agg(F.min("ingested_at"), F.max("ingested_at")).first()
+    middle = None if first is None else str(first + (last - first) / 2)
+    late = F.coalesce(F.col("ingested_at") > F.lit(middle).cast(records.schema["ingested_at"].dataType), F.lit(True))
+    held = upserts.upsert_total_order(ranked.limit(0), ranked.where(~late), ["product_id"], order)
+    merged = upserts.upsert_total_order(held, ranked.where(late), ["product_id"], order)
     return merged.select("product_id", "record_id", "ingredients_raw")
 
 

@@ -156,6 +156,13 @@ def test_upserts_and_violations(spark):
     assert rows(upserts.violations(new, {"s": F.col("s") != "n"}, "k")) == [("a", "s"), ("b", "s")]
 
 
+def test_ingredient_upsert_merges_into_held_rows(spark, folder, monkeypatch):
+    seen, upsert = [], upserts.upsert_total_order
+    monkeypatch.setattr(upserts, "upsert_total_order", lambda old, new, *rest: seen.append((old.count(), new.count())) or upsert(old, new, *rest))
+    QUERIES["upsert_precedence_ingredient"](spark, folder)
+    assert any(old > 0 and new > 0 for old, new in seen)
+
+
 def test_entities_and_candidates(spark):
     schema = "id long, gtin string, composite string"
     candidates = spark.createDataFrame([(1, "g1", "c1"), (2, "g2", "c2"), (3, "g2", "c2"), (4, None, "c4")], schema)
