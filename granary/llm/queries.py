@@ -40,12 +40,17 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return short_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Chances of one more copy in proportion to a document's tokens."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), weight=F.greatest("tokens", F.lit(1)))
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+    return _mixed(spark, folder)[0]
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return _mixed(spark, folder)[1]
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ from granary.llm.leaks import leaked_items
 from granary.llm.listings import flavour_key, quantity_of
 from granary.llm.mixing import allocate, mix, short_sources, sized_documents
 from granary.llm.names import NameMatcher, edits, folded
+from granary.llm.queries import QUERIES
 from granary.llm.resolve import PROFILE, merge_profiles, product_pairs, same_products
 from granary.llm.spam import NAMES, NUMBER, Batch, Model, classes_of, pieces_of, spam_pages
 from granary.llm.survivors import claims_of, discover_truth, observed_time, surviving_values
@@ -317,3 +318,12 @@ def test_smoothing_stays_within_a_document():
     tag = model.surprise[start, NUMBER["tag"]]
     assert model.smoothed(batch) == pytest.approx([(words + tag) / 3, (words + tag) / 3, tag])
     assert list(batch.docs) == [1, 1, 3] and list(batch.prose()) == [True, True, True]
+
+
+def test_registered_mix_draws_by_size(spark, tmp_path):
+    data = [(i, "a", "word " * (3 if i % 2 else 60)) for i in range(400)] + [(1000, "a", "word " * 600), (1001, "a", "")]
+    spark.createDataFrame(data, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", 0.5, 1)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    chosen = {r.doc_id for r in QUERIES["p9_mix"](spark, str(tmp_path)).collect()}
+    long, short = len([d for d in chosen if d < 400 and d % 2 == 0]), len([d for d in chosen if d < 400 and d % 2])
+    assert 1000 in chosen and 1001 not in chosen and long > 5 * short > 0
