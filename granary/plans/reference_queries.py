@@ -455,6 +455,14 @@ def entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return resolve_entities(incoming, keyed(signs(table(spark, folder, "label_products")), "label_id", *columns).distinct())
 
 
+@query(None)
+def entity_resolution_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the columns as they are: signs dropped and '&' spelled out by the operator itself."""
+    columns = ("gtin", "brand", "item_name", "flavour", "net_quantity_grams")
+    incoming = keyed(table(spark, folder, "listings"), "listing_id", *columns).distinct()
+    return resolve_entities(incoming, keyed(table(spark, folder, "label_products"), "label_id", *columns).distinct())
+
+
 @query(f"""WITH {_RECORDS} SELECT product_id, record_id, ingredients_raw FROM (SELECT r.*, row_number() OVER (PARTITION BY product_id ORDER BY coalesce(ingredient_authority, 0) DESC, ingested_at DESC, record_id DESC) AS nth
   FROM (SELECT * FROM records WHERE ingredients_raw IS NOT NULL) r LEFT JOIN sources s USING (source_id)) WHERE nth = 1""")
 def upsert_precedence_ingredient(spark: SparkSession, folder: str) -> DataFrame:

@@ -172,6 +172,14 @@ def test_entities_and_candidates(spark):
     assert rows(rel.prefix_candidates(named, named, "b", "n", "id", "id")) == [(1, 2, 78), (1, 5, 92), (2, 1, 78), (2, 5, 78), (5, 1, 92), (5, 2, 78)]
 
 
+def test_signs_and_ampersands_are_resolved_by_the_operator(spark, tmp_path):
+    rest = "gtin string, brand string, item_name string, flavour string, net_quantity_grams double"
+    listings = [(1, None, "Kelba", "Whey™ Gold", "Cookies & Cream", 500.0), (2, None, "Kelba", "Whey", "Mint", 500.0)]
+    spark.createDataFrame(listings, f"listing_id long, {rest}").write.parquet(str(tmp_path / "listings.parquet"))
+    spark.createDataFrame([(9, None, "KELBA®", "Whey Gold", "Cookies and Cream", 500.0)], f"label_id long, {rest}").write.parquet(str(tmp_path / "label_products.parquet"))
+    assert rows(QUERIES["entity_resolution_raw"](spark, str(tmp_path))) == [(1, 9, "exact_composite"), (2, None, "no_exact_match")]
+
+
 def test_relational_pieces(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x"), ("b", 2, "y"), ("c", 1, None)], "k string, n int, v string")
     assert rows(rel.unanimous(df, ["k"], "v")) == [("a", "x")]
