@@ -3,16 +3,19 @@
 Each text is cut into alternating ordinary and delimiter pieces (brackets and quoted values are ordinary). Masking
 the ordinary pieces leaves the text's delimiter skeleton, such as 'xcxcx' for 'milk, egg, soy'. What splits and
 what doesn't is decided once per distinct skeleton; the resulting piece spans are joined back and applied to the
-pieces by position. All work on rows is built-in expressions; Python sees distinct skeletons only.
+pieces by position. Work on rows is built-in expressions, and Python sees distinct skeletons only, but for texts
+whose brackets nest deeper than a pattern can say: those are cut by a scan that counts the depth.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from granary.session import cut_lineage, latest_by
 
@@ -44,8 +47,10 @@ _DELIMITERS = (
     ("d", rf"(?<![^{_SPACE}])[-*–—](?=[{_SPACE}])"),
     ("w", rf"(?<=[{_SPACE}])[aA][nN][dD](?=[{_SPACE}])"),
 )
-_DEPTH = 6
-_CUT = f"({_DECIMAL}|{_QUOTED}|(?!{_MARK}){_bracketed(_DEPTH)})|({_MARK}|{'|'.join(p for _, p in _DELIMITERS)})"
+_DEPTH = 6  # of the pattern; deeper texts go to ``_deep_pieces``
+_DELIMITER = f"{_MARK}|{'|'.join(p for _, p in _DELIMITERS)}"
+_CUT = f"({_DECIMAL}|{_QUOTED}|(?!{_MARK}){_bracketed(_DEPTH)})|({_DELIMITER})"
+_OPENING, _CLOSING = "([{（", ")]}）"
 
 # Words that lead in a whole list, and texts that say nothing.
 _LEAD_IN = r"(?i)^(?:ingredients?(?:\s+list)?|contains?|may\s+contain(?:\s+traces(?:\s+of)?)?|traces?(?:\s+of)?|allergens?)\s*(?:[:：\-–—]\s*|\s+|$)"
@@ -60,6 +65,48 @@ def _pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(marked, _OPEN + _SHUT, ""), f"[{_OPEN}{_SHUT}]", -1)
 
 
+def nesting(text: Column) -> Column:
+    """How deep the brackets of a text go: the most opened and not yet closed at any place, or the same read from the end, if that is less."""
+
+    def deepest(brackets: Column, opening: str) -> Column:
+        step = lambda a, c: F.struct(
+            F.greatest(F.lit(0), a["open"] + F.when(F.contains(F.lit(opening), c), 1).otherwise(-1)).alias("open"),
+            F.greatest(a["most"], a["open"] + F.when(F.contains(F.lit(opening), c), 1).otherwise(-1)).alias("most"),
+        )
+        return F.aggregate(brackets, F.struct(F.lit(0).alias("open"), F.lit(0).alias("most")), step, lambda a: a["most"])
+
+    each = F.filter(F.split(F.regexp_replace(text, r"[^()\[\]{}（）]+", ""), ""), lambda c: c != "")
+    return F.when(text.rlike(r"[(\[{（]"), F.least(deepest(each, _OPENING), deepest(F.reverse(each), _CLOSING))).otherwise(F.lit(0))
+
+
+_TOKENS = re.compile(f"(?P<plain>{_DECIMAL}|{_QUOTED})|(?P<mark>{_MARK})|(?P<bracket>[()\\[\\]{{}}（）])|(?P<delimiter>{'|'.join(p for _, p in _DELIMITERS)})")
+
+
+def cut_deep(text: str) -> list[str]:
+    """Alternating ordinary and delimiter pieces of a text with brackets of any depth: what stands in closed brackets is ordinary."""
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKENS.finditer(text)]
+    open_at: list[int] = []
+    inside = [0] * (len(tokens) + 1)  # how many closed bracket pairs begin (+1) or end (-1) at a token
+    for i, (kind, start, _) in enumerate(tokens):
+        if kind == "bracket" and text[start] in _OPENING:
+            open_at.append(i)
+        elif kind == "bracket" and open_at:
+            inside[open_at.pop()] += 1
+            inside[i] -= 1
+    pieces, last, depth = [], 0, 0
+    for i, (kind, start, end) in enumerate(tokens):
+        depth += inside[i]
+        if depth == 0 and kind in ("mark", "delimiter"):
+            pieces += [text[last:start], text[start:end]]
+            last = end
+    return [*pieces, text[last:]]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _deep_pieces(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: cut_deep(t) if t is not None else None)
+
+
 def _skeleton(pieces: Column, and_splits: Column) -> Column:
     """The pieces masked: one letter per delimiter's kind, x for ordinary text, _ for white space, after the field's kind."""
 
@@ -135,8 +182,7 @@ def unpack_fields(
     broadcast; rows of any rarer ones are joined by shuffle, where none of them can be hot.
 
     Defined cases: a field that is null, blank or says nothing gives no rows; empty values aren't counted;
-    brackets nested deeper than six levels, unbalanced brackets and unbalanced quotes are ordinary characters; a
-    row delivered again counts once (the last observed of one id); a null id gives no rows; other columns are ignored.
+    brackets may nest to any depth; unbalanced brackets and unbalanced quotes are ordinary characters; a row delivered again counts once (the last observed of one id); a null id gives no rows; other columns are ignored.
 
     Returns label_id, field_name, pos, item_text.
     """
@@ -147,7 +193,8 @@ def unpack_fields(
         once.select("id", each.alias("e"))
         .select("id", "e.field", "e.ands", _whole_list(F.col("e.text")).alias("list"))
         .where(F.col("list").isNotNull())
-        .select("id", "field", "ands", _pieces(F.col("list")).alias("pieces"))
+        .withColumn("deep", _deep_pieces(F.when(nesting(F.col("list")) > _DEPTH, F.col("list"))))
+        .select("id", "field", "ands", F.coalesce("deep", _pieces(F.col("list"))).alias("pieces"))
         .withColumn("skeleton", _skeleton(F.col("pieces"), F.col("ands")))
         .select("id", "field", "pieces", "skeleton")
     )

@@ -29,16 +29,14 @@ _GONE = object()
 
 
 def parse_whole(text: Any) -> Any:
-    """The JSON value, also when it is JSON within a JSON string; None if it isn't whole JSON."""
+    """The JSON value, also when it is JSON within a JSON string; a byte-order mark before it doesn't count. None if it isn't whole JSON."""
     value = text
-    for _ in range(4):
-        if not isinstance(value, str):
-            return value
+    while isinstance(value, str):
         try:
-            value = json.loads(value)
+            value = json.loads(value.lstrip("\ufeff"))  # each turn takes off a pair of quotes, so it ends
         except (ValueError, RecursionError):
             return None
-    return None
+    return value
 
 
 def _steps(record: Any, arrays: frozenset[str]) -> dict[Path, dict[str, None]]:
@@ -200,7 +198,7 @@ def flatten_payloads(decisions: DataFrame, *, id_column: str = "decision_id", pa
 
     Defined cases: a payload that is null, empty, cut short, nested deeper than the JSON parser goes or no object
     gives no rows; JSON within a JSON string
-    counts as JSON; a single object under normalizedIngredients, children or lines is an array of one; a null
+    counts as JSON, also after a byte-order mark; a single object under normalizedIngredients, children or lines is an array of one; a null
     node keeps its place but gives no row, a node of plain text has it as its text; a position that isn't a number
     is -1; a box that isn't four numbers is none; a row delivered again counts once (the last decided of one id);
     a null id gives no rows; other columns are ignored.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def local_session(name: str = "granary", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
+    """A session for tests and the bench, with the package shipped; a cluster brings its own and calls ``ship_package``."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -26,6 +27,7 @@ def local_session(name: str = "granary", cpus: str = "*", shuffle_partitions: in
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -51,11 +53,16 @@ def ship_package(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder all executors share and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) is a local one made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a session in one process (tests, bench)
+    gets a local folder that goes with it; on a cluster it is an error, since no local folder is shared.
     """
     context = df.sparkSession.sparkContext
     if context.getConf().get("spark.checkpoint.dir") is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="granary-checkpoint-"))
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="granary-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

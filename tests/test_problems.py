@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from granary.operators.packed import resolve_skeleton, unpack_fields
+from granary.operators.packed import _pieces, cut_deep, nesting, resolve_skeleton, unpack_fields
 from granary.operators.shred import EACH, elements, flatten_payloads, parse_whole, shred, values, whole_number
 from granary.operators.snapshots import snapshot_changes
 from granary.operators.units import common_amounts, observations, pairwise_scales, propagate, seeds
@@ -81,6 +81,18 @@ def test_unpack_repeats_empties_and_foreign_columns(spark):
     assert rows(unpack_fields(df.limit(0))) == []
 
 
+def test_brackets_of_any_depth(spark):
+    deep = "(" * 40 + "a, b" + ")" * 40
+    text = f"milk {deep}, [egg; (x, [y, (z, {{u, (v, (w, (q, r), s))}})])], soy (open, end"
+    want = [f"milk {deep}", "[egg; (x, [y, (z, {u, (v, (w, (q, r), s))})])]", "soy (open", "end"]
+    data = [(1, text, T), (2, "milk (a, b), egg", T)]
+    df = spark.createDataFrame(data, "label_id long, ingredients_raw string, observed_at timestamp").withColumns({"contains_raw": F.lit(None).cast("string"), "traces_raw": F.lit(None).cast("string")})
+    assert [r.item_text for r in unpack_fields(df).where("label_id = 1").orderBy("pos").collect()] == want
+    for flat in ("milk (a, b), egg", "(1) celery, (2) fish", "a 1,5 %; b & c | d", '"x, y", z', "a (b, c", "a) b, c (d, e)"):
+        told = spark.createDataFrame([(flat,)], "t string").select(_pieces(F.col("t")).alias("p"), nesting(F.col("t")).alias("n")).first()
+        assert told.p == cut_deep(flat) and told.n <= 1
+
+
 def test_skeleton_rules():
     assert resolve_skeleton("oxcx") == [(0, 1), (2, 1)]
     assert resolve_skeleton("oxwx") == [(0, 3)]
@@ -119,7 +131,7 @@ def test_shredding_keeps_all_scalars(tree):
 def test_flatten(spark):
     tree = [{"raw": "a", "position": "1", "children": {"raw": "b", "position": 2.0, "children": []}}, None, {"raw": "c", "children": [{"raw": "d", "position": None}]}, "e"]
     payload = {"candidate": {"boundingBox": ["1", 2.0, 3, 4], "lines": [{"text": "t"}, {"boundingBox": {"height": 4, "x": "1", "y": 2, "width": 3}}]}, "normalizedIngredients": tree}
-    data = [("d1", json.dumps(payload), T), ("d1", json.dumps(payload), T), ("d2", json.dumps(json.dumps({"boundingBox": [5, 6, 7, 8]})), T), ("d3", json.dumps(payload)[:-5], T), ("d4", None, T), ("d5", "{}", T), ("d6", "[1]", T), ("d7", "[" * 100_000, T), (None, "{}", T)]
+    data = [("d1", json.dumps(payload), T), ("d1", json.dumps(payload), T), ("d2", json.dumps(json.dumps({"boundingBox": [5, 6, 7, 8]})), T), ("d3", json.dumps(payload)[:-5], T), ("d4", None, T), ("d5", "{}", T), ("d6", "[1]", T), ("d7", "[" * 100_000, T), ("d8", "\ufeff" + json.dumps({"boundingBox": [1, 1, 2, 2]}), T), (None, "{}", T)]
     df = spark.createDataFrame(data, "decision_id string, payload string, decided_at timestamp").withColumn("kind", F.lit("clash"))
     assert rows(flatten_payloads(df)) == sorted(
         [
@@ -131,6 +143,7 @@ def test_flatten(spark):
             ("d1", "box", "", "", -1, "1,2,3,4"),
             ("d1", "box", "1", "", -1, "1,2,3,4"),
             ("d2", "box", "", "", -1, "5,6,7,8"),
+            ("d8", "box", "", "", -1, "1,1,2,2"),
         ],
         key=str,
     )
