@@ -1,17 +1,20 @@
-"""Reading one food listing: brand, product line, type, flavour, unit size and pack count from its free text."""
+"""Reading one food listing: brand, product line, type, flavour, unit size and pack count from its free text.
+
+A listing is first cut into words and quantities (``Cut``); what its words mean is looked up elsewhere, and comes back
+as the listing's own small part of the dictionary, with which it is then read (``read``).
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from granary.llm.names import NameMatcher, allowed_edits, edits, folded, unleeted
+from granary.llm.names import allowed_edits, edits, folded, unleeted
 
-# Words of one meaning in flavours and product types, and two words for one.
+# Words of one meaning in flavours and product types, and two words for one. Typing errors are learned.
 _SAME = {
-    "choco": "chocolate", "choc": "chocolate", "chocolates": "chocolate", "vanila": "vanilla", "carmel": "caramel", "cofee": "coffee", "ornge": "orange",
-    "mocca": "mocha", "masalaa": "masala", "bananna": "banana", "minty": "mint", "salt": "salted", "berries": "berry", "piri": "peri", "pista": "pistachio",
+    "choco": "chocolate", "choc": "chocolate", "chocolates": "chocolate", "minty": "mint", "salt": "salted", "berries": "berry", "piri": "peri", "pista": "pistachio",
     "kesar": "saffron", "gulab": "rose", "elaichi": "cardamom", "unflavored": "unflavoured", "cookies": "cookie", "soya": "soy", "yoghurt": "yogurt",
     "yoghurts": "yogurt", "yogurts": "yogurt", "chunks": "chunk", "bars": "bar", "nut": "nuts", "oat": "oats", "chip": "chips", "crisps": "chips", "flavor": "flavour",
     "flavored": "flavour", "flavoured": "flavour", "flavours": "flavour", "flavors": "flavour",
@@ -32,6 +35,24 @@ TYPES = (
 )
 TYPE_WORDS = frozenset(w for _, words in TYPES for w in words)
 
+# Words of titles that name no product line.
+ORDINARY = tuple(
+    """added advanced athletes authentic available baked bakehouse based best better block bottle bottles box boxes bundle butter buy carton
+    case cash certified choice clear classic clean clusters combo concentrate creamy crunch crunchy cultured daily dairy deal deals delicious
+    delivery diet discount drink each easy energy essential everyday exclusive express extra family farms festive firm fitness flavour foods
+    fresh free friendly from genuine gluten goodness grain gram grams great ground health healthy high icelandic imported india indian
+    ingredients instant isolate keto kitchen label labs limited litre litres made mass micellar milk mills mixed muscle natural naturally
+    naturals newly nuggets nutrition nutritious offer offers official online only organic organics original pack packs pantry perfect piece
+    pieces plus pouch powder premium price product products protein pure quality rated ready real recovery release rich roasted rolled saver
+    sale seller serving shaker shipping size slow smooth snack special sport sports spread starter stock stone store strength style sugar
+    super supplement supplements sweet taste tasty tested trial trusted units unsweetened value vegan vegetarian weight wellness whole with
+    without women workout yummy""".split()
+)
+# What stands in a brand field that names no brand.
+NO_BRAND = frozenset(("", "n a", "na", "none", "null", "nil", "unknown", "generic", "unbranded", "retail partner", "no brand", "not available", "not applicable", "tbd", "other", "others", "various", "imported", "local"))
+
+PLAIN = frozenset(ORDINARY) | TYPE_WORDS
+
 # Grams (or ml) per printed unit; the imperial ones are printed to a tenth.
 _METRIC = {"kg": 1000.0, "g": 1.0, "mg": 0.001, "l": 1000.0, "dl": 100.0, "cl": 10.0, "ml": 1.0}
 _IMPERIAL = {"oz": 28.349523125, "lb": 453.59237, "floz": 29.5735295625}
@@ -51,8 +72,8 @@ def _number(text: str) -> float:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Folded words with one writing per meaning."""
-    words = [_SAME.get(w, w) for w in folded(text).split()]
+    """Folded words with one writing per meaning; digits that stand for letters are letters."""
+    words = [_SAME.get(w, w) for w in unleeted(folded(text)).split()]
     out: list[str] = []
     for w in words:
         if out and (out[-1], w) in _JOINED:
@@ -109,102 +130,130 @@ def quantity_of(title: str, net: float | None) -> tuple[Quantity, str]:
     return said, rest
 
 
+WIDEST = 4
+# The roles of what is looked up: a brand field, a word, two words as one, neighbouring words as a flavour.
+BRAND, WORD, JOINED, FLAVOUR = "B", "w", "p", "f"
+
+
+@dataclass
+class Cut:
+    """A listing's words, without digits, and its quantity."""
+
+    title: list[str]
+    brand: list[str]
+    flavour: list[str]
+    taste: str | None
+    said: Quantity
+
+
+def cut_listing(brand: str | None, title: str | None, flavour: str | None, net: float | None) -> Cut:
+    said, rest = quantity_of(title or "", net)
+    if flavour and said.low is None:
+        more, _ = quantity_of(flavour, None)
+        said.low, said.high, said.exact, said.count = more.low, more.high, more.exact, said.count or more.count
+    words = [[w for w in words_of(t) if not w.isdigit()] for t in (rest, brand, flavour)]
+    return Cut(*words, flavour_key(flavour), said)
+
+
+def _windows(words: list[str]) -> list[tuple[int, int, str]]:
+    """(first, past last, flavour key) of up to four neighbouring words, the longest first, without those that only ordinary words make up."""
+    found = []
+    for wide in range(min(WIDEST, len(words)), 0, -1):
+        for i in range(len(words) - wide + 1):
+            window = [w for w in words[i : i + wide] if w not in _NO_FLAVOUR_WORD]
+            if words[i] in _NO_FLAVOUR_WORD or not window or all(w in _ORDINARY for w in window):
+                continue
+            if len(window) == len(set(window)) or len(set(window)) == 1:
+                found.append((i, i + wide, " ".join(sorted(set(window)))))
+    return found
+
+
+_ORDINARY = frozenset(ORDINARY)
+
+
+def looked_up(cut: Cut) -> list[tuple[str, str]]:
+    """(role, text) of all that the dictionary may know of a listing's words."""
+    found = {(WORD, w) for w in (*cut.title, *cut.brand) if len(w) >= 3 and w not in PLAIN}
+    for words in (cut.title, cut.brand):
+        found |= {(JOINED, a + b) for a, b in zip(words, words[1:]) if len(a) + len(b) >= 5 and not (a in PLAIN and b in PLAIN)}
+    found |= {(FLAVOUR, key) for words in (cut.title, cut.flavour) for _, _, key in _windows(words)}
+    if cut.taste:
+        found.add((FLAVOUR, cut.taste))
+    return sorted(found)
+
+
+@dataclass(frozen=True)
+class Meaning:
+    """What a word means: a line, a brand, a flavour or ordinary word typed wrong, or that it is explained; and in how many listings its line stands."""
+
+    line: str | None = None
+    maker: str | None = None
+    flavour: str | None = None
+    spelled: str | None = None
+    explained: bool = False
+    vague: bool = False
+    weight: int = 1
+
+
 @dataclass
-class Vocabulary:
-    """What is learned from all listings: brand names, product lines, flavours, ordinary words of titles and words that come beside lines."""
-
-    brands: list[tuple[str, str]] = field(default_factory=list)
-    lines: list[str] = field(default_factory=list)
-    flavours: list[str] = field(default_factory=list)
-    plain_words: list[str] = field(default_factory=list)
-    beside: list[str] = field(default_factory=list)
-
-
-class Reader:
-    def __init__(self, known: Vocabulary):
-        self.brands = NameMatcher(known.brands)
-        self.lines = frozenset(known.lines)
-        self.flavours = frozenset(known.flavours)
-        self.widest = max((len(f.split()) for f in known.flavours), default=1)
-        self.plain = frozenset(known.plain_words) | TYPE_WORDS | frozenset(w for f in known.flavours for w in f.split())
-        self.named = frozenset(w for _, n in known.brands for w in unleeted(folded(n)).split()) - self.lines
-        self.explained = self.plain | self.named | frozenset(known.beside)
-        self.near: dict[str, str | None] = {}
-
-    def read(self, brand: str | None, title: str | None, flavour: str | None, net: float | None) -> tuple[str | None, str | None, str | None, str | None, Quantity, str | None]:
-        """Brand, line, type, flavour and quantity; last the words that stand for the line if it may be a typo of several."""
-        said, rest = quantity_of(title or "", net)
-        if flavour and said.low is None:
-            more, _ = quantity_of(flavour, None)
-            said.low, said.high, said.exact, said.count = more.low, more.high, more.exact, said.count or more.count
-        words = [w for w in words_of(rest) if not w.isdigit()]
-        line = self._line(words)
-        taste = flavour_key(flavour)
-        if taste is not None and taste not in self.flavours:
-            taste = self._flavour_in(words_of(flavour))[0] or taste
-        in_title, words = self._flavour_in(words)
-        kind = next((t for t, need in TYPES if all(n in words for n in need)), None)
-        maker = self.brands.match(brand) if brand else None
-        if maker is None:
-            maker = self._brand_in(rest, line)
-        if line is None:
-            line = self._line([w for w in words_of(brand) if not w.isdigit()]) if brand else None
-        own = self._own_words(words, brand, maker) if line is None else None
-        if own and not any(edits(unleeted(w), name, 2) <= 2 for w in own for name in self.lines):
-            line = f"?{' '.join(own)}"
-        return maker, line, kind or self._odd_type(words, line), taste or in_title, said, f"?{' '.join(own)}" if own else None
-
-    def _own_words(self, words: list[str], brand: str | None, maker: str | None) -> list[str]:
-        """The words of a title that no brand, type, flavour or ordinary word explains; the short ones only if there are no others."""
-        said = unleeted(folded(brand)).split()
-        said = {*said, "".join(said)}
-        left = sorted({w for w in words if len(w) >= 3 and w not in self.explained and not any(edits(unleeted(w), b, 2) <= allowed_edits(len(b)) for b in said)})
-        left = [w for w in left if maker is None or self.brands.match(w) != maker]
-        return [w for w in left if len(w) >= 5] or left
-
-    def _flavour_in(self, words: list[str]) -> tuple[str | None, list[str]]:
-        """The longest known flavour in neighbouring words, and the words without it."""
-        for wide in range(self.widest + 2, 0, -1):
-            for i in range(len(words) - wide + 1):
-                window = [w for w in words[i : i + wide] if w not in _NO_FLAVOUR_WORD]
-                key = " ".join(sorted(set(window)))
-                if key in self.flavours and words[i] not in _NO_FLAVOUR_WORD and (len(window) == len(key.split()) or len(set(window)) == 1):
-                    return key, words[:i] + words[i + wide :]
-        return None, words
-
-    def _line(self, words: list[str]) -> str | None:
-        for w in words:
-            if w in self.lines:
-                return w
-        best: tuple[int, str] | None = None
-        for w in [*words, *("".join(p) for p in zip(words, words[1:]))]:
-            if len(w) >= 5 and w not in self.plain and w not in self.named and (name := self._near_line(w)):
-                rank = (edits(unleeted(w), name, 3), name)
-                best = rank if best is None else min(best, rank)
-        return best[1] if best else None
-
-    def _near_line(self, word: str) -> str | None:
-        if word not in self.near:
-            if len(self.near) > 200_000:
-                self.near.clear()
-            plain = unleeted(word)
-            ranks = sorted((edits(plain, name, 2), name) for name in self.lines if abs(len(name) - len(plain)) <= 2)
-            ranks = [r for r in ranks if r[0] <= allowed_edits(len(r[1]))]
-            clear = ranks and (len(ranks) == 1 or ranks[0][0] < ranks[1][0])
-            self.near[word] = ranks[0][1] if clear else None
-        return self.near[word]
-
-    def _brand_in(self, title: str, line: str | None) -> str | None:
-        plain = unleeted(folded(title))
-        if found := self.brands.mentions(plain):
-            return max(found, key=lambda m: (m[1] - m[0], -m[0]))[2]
-        rest = [w for w in plain.split() if w not in self.plain and _SAME.get(w, w) not in self.plain and w not in self.lines and self._near_line(w) is None and not w.isdigit()]
-        for w in [*rest, *("".join(p) for p in zip(rest, rest[1:]))]:
-            if len(w) >= 5 and (key := self.brands.match(w)):
-                return key
-        return None
-
-    def _odd_type(self, words: list[str], line: str | None) -> str | None:
-        """For a type that no rule names: 'other' and the known words of the title that aren't flavour or line."""
-        counted = Counter(w for w in words if w in self.plain and w != line)
-        return "other " + " ".join(sorted(counted)) if counted else None
+class Entries:
+    """The part of the dictionary that one listing needs."""
+
+    flavours: dict[str, str]
+    words: dict[str, Meaning]
+    joined: dict[str, Meaning]
+
+
+def read(cut: Cut, maker: str | None, known: Entries) -> tuple[str | None, str | None, str | None, str | None, str | None]:
+    """Brand, line, type and flavour, and last the words that stand for the line if none is known."""
+    taste = cut.taste
+    if taste is not None and taste not in known.flavours:
+        taste = next((known.flavours[key] for _, _, key in _windows(cut.flavour) if key in known.flavours), taste)
+    elif taste is not None:
+        taste = known.flavours[taste]
+    words = cut.title
+    for first, last, key in _windows(words):
+        if key in known.flavours:
+            taste = taste or known.flavours[key]
+            words = words[:first] + words[last:]
+            break
+    taste = taste or next((known.words[w].flavour for w in words if w in known.words and known.words[w].flavour), None)
+    spelled = {known.words[w].spelled or w if w in known.words else w for w in words}
+    kind = next((t for t, need in TYPES if spelled.issuperset(need)), None)
+    maker = maker or _maker_in(words, known)
+    line = _line_in(words, known) or _line_in(cut.brand, known)
+    own = None
+    if line is None:
+        left = _unexplained(words, cut.brand, known)
+        own = f"?{' '.join(left)}" if left else None
+        if not any(known.words[w].vague for w in left if w in known.words):
+            line = own
+    if kind is None:
+        counted = sorted({w for w in words if w in PLAIN and w != line})
+        kind = f"other {' '.join(counted)}" if counted else None
+    return maker, line, kind, taste, own
+
+
+def _maker_in(words: list[str], known: Entries) -> str | None:
+    """The brand that two words of a title joined name, else the first that a word names."""
+    for told, parts in ((known.joined, [a + b for a, b in zip(words, words[1:])]), (known.words, words)):
+        for w in parts:
+            if w in told and told[w].maker:
+                return told[w].maker
+    return None
+
+
+def _line_in(words: list[str], known: Entries) -> str | None:
+    """Of the lines that words stand for, alone or joined, the one in most listings."""
+    met = [known.words[w] for w in words if w in known.words] + [known.joined[a + b] for a, b in zip(words, words[1:]) if a + b in known.joined]
+    best = max(((m.weight, m.line) for m in met if m.line and not m.explained), default=None)
+    return best[1] if best else None
+
+
+def _unexplained(words: list[str], brand: list[str], known: Entries) -> list[str]:
+    """The words of a title that no brand, type, flavour or ordinary word explains; the short ones only if there are no others."""
+    said = {*brand, "".join(brand)}
+    none = Meaning()
+    left = sorted({w for w in words if len(w) >= 3 and w not in PLAIN and w not in _NO_FLAVOUR_WORD and not ((m := known.words.get(w, none)).maker or (m.explained and not m.line))})
+    left = [w for w in left if not any(edits(w, b, 2) <= allowed_edits(len(b)) for b in said)]
+    return [w for w in left if len(w) >= 5] or left

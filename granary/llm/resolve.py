@@ -1,8 +1,9 @@
 """Listings that describe the same product, by generic merge resolution.
 
-Each listing is read into a profile of six attributes; a size given as a range is the nearest usual one in it. Equal
-profiles merge; one that lacks brand, line or type, any of them, is blocked on what it does say and merges into the
-complete profile that agrees with it, if there is a single one.
+Each listing is cut into words, the words are looked up in a dictionary learned from all listings, and with its own
+part of the dictionary each listing is read into a profile of six attributes. Equal profiles merge. Profiles that lack
+brand, line or type are blocked on what they say and merge with the richer profiles that agree with it, if these agree
+in what is lacking; profiles made richer are blocked and matched again, until none changes.
 """
 
 from __future__ import annotations
@@ -14,126 +15,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.canonical import canonical_names
-from granary.llm.listings import TYPE_WORDS, Reader, Vocabulary, flavour_key
-from granary.llm.names import _AROUND, NameMatcher, edits, folded, unleeted
+from granary.llm.listings import BRAND, FLAVOUR, JOINED, PLAIN, WORD, Cut, Entries, Meaning, Quantity, cut_listing, looked_up, read
+from granary.llm.vocabulary import learn_dictionary, mark_companions
 from granary.session import broadcast_if_small, cut_lineage, latest_by
 
-# Words of titles that name no product line.
-ORDINARY = tuple(
-    """added advanced athletes authentic available baked bakehouse based best better block bottle bottles box boxes bundle butter buy carton
-    case cash certified choice clear classic clean clusters combo concentrate creamy crunch crunchy cultured daily dairy deal deals delicious
-    delivery diet discount drink each easy energy essential everyday exclusive express extra family farms festive firm fitness flavour foods
-    fresh free friendly from genuine gluten goodness grain gram grams great ground health healthy high icelandic imported india indian
-    ingredients instant isolate keto kitchen label labs limited litre litres made mass micellar milk mills mixed muscle natural naturally
-    naturals newly nuggets nutrition nutritious offer offers official online only organic organics original pack packs pantry perfect piece
-    pieces plus pouch powder premium price product products protein pure quality rated ready real recovery release rich roasted rolled saver
-    sale seller serving shaker shipping size slow smooth snack special sport sports spread starter stock stone store strength style sugar
-    super supplement supplements sweet taste tasty tested trial trusted units unsweetened value vegan vegetarian weight wellness whole with
-    without women workout yummy""".split()
-)
-# What stands in a brand field that names no brand.
-NO_BRAND = frozenset(("", "n a", "na", "none", "null", "nil", "unknown", "generic", "unbranded", "retail partner", "no brand", "not available", "not applicable", "tbd", "other", "others", "various", "imported", "local"))
-
 PROFILE = ["maker", "line", "kind", "taste", "size", "pieces"]
-_READ = "id long, maker string, line string, kind string, taste string, own string, low double, high double, exact boolean, pieces int, total_low double, total_high double"
+_CUT = "id long, title array<string>, brand array<string>, flavour array<string>, taste string, field string, looked array<string>, low double, high double, exact boolean, pieces int, total_low double, total_high double"
+_READ = "id long, maker string, line string, kind string, taste string, own string"
+_SIZES = ["low", "high", "exact", "pieces", "total_low", "total_high"]
 
 
-def bare_brand(text: str | None) -> str:
-    return " ".join(w for w in unleeted(folded(text)).split() if w not in _AROUND)
+def cut_listings(listings: DataFrame) -> DataFrame:
+    """Words, quantities and what is to be looked up (role, then text) of each listing; the one pass over the texts."""
 
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, brand, title, flavour, net in zip(batch["id"], batch["brand"], batch["title"], batch["flavour"], batch["net"]):
+                c = cut_listing(brand, title, flavour, None if net is None or net != net else float(net))
+                looked = [role + text for role, text in looked_up(c)]
+                if brand and brand.strip():
+                    looked.append(BRAND + brand)
+                s = c.said
+                rows.append((key, c.title, c.brand, c.flavour, c.taste, brand, looked, s.low, s.high, s.exact, s.count, s.total_low, s.total_high))
+            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in _CUT.split(", ")])
+            yield frame.astype({"pieces": "Int32", "exact": "bool", "low": "float64", "high": "float64", "total_low": "float64", "total_high": "float64"})
 
-def _frequent(values: DataFrame, column: str, least: int, most: int) -> list[tuple[str, int]]:
-    """The ``most`` most frequent values of ``column`` with their weight (column n), from a weight of ``least`` on."""
-    counted = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = counted.orderBy(F.desc("n"), column).limit(most).collect()
-    return [(r[0], r[1]) for r in rows]
+    made = listings.select("id", "brand", "title", "flavour", "net").mapInPandas(cut, _CUT)
+    return cut_lineage(made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high", "total_low", "total_high")}))
 
 
-def learn_vocabulary(listings: DataFrame, known: list[tuple[str, str]], most_words: int = 200_000, most_flavours: int = 50_000, most_brands: int = 40_000) -> Vocabulary:
-    """Product lines, flavours and brands outside the known list, as all listings use them.
+def _looked(cut: DataFrame) -> DataFrame:
+    each = cut.select("id", "taste", F.explode("looked").alias("both"))
+    return each.select("id", "taste", F.left("both", F.lit(1)).alias("role"), F.substring("both", 2, 2**31 - 1).alias("text"))
 
-    A word counts from three listings on, a flavour or an unlisted brand from two, however many listings there are;
-    what is bounded is how many values of each are sent to the driver, the most frequent first. A word that is
-    within two edits of a much more frequent line, brand or ordinary word is a typo of it, or a piece if that begins
-    or ends with it; such a word is no line here, but still tells listings apart (``Reader``).
-    """
-    names = NameMatcher(known)
-
-    @F.pandas_udf("string")
-    def unlisted(values: pd.Series) -> pd.Series:
-        def head(text: str | None) -> str | None:
-            bare = bare_brand(text)
-            return None if bare in NO_BRAND or len(bare) < 5 or names.match(text) is not None else bare
-
-        return values.map(head)
-
-    @F.pandas_udf("string")
-    def tasted(values: pd.Series) -> pd.Series:
-        return values.map(flavour_key)
-
-    per_brand = listings.groupBy("brand").agg(F.count("*").alias("n"))
-    own: list[str] = []
-    counts: dict[str, int] = {}
-    for head, n in _frequent(per_brand.select(unlisted("brand").alias("head"), "n"), "head", 2, most_brands):
-        counts[head] = n
-        if not any(counts[o] > 2 * n and edits(head, o, 2) <= 2 for o in own):
-            own.append(head)
-    flavours = [f for f, _ in _frequent(listings.groupBy("flavour").agg(F.count("*").alias("n")).select(tasted("flavour").alias("f"), "n"), "f", 2, most_flavours)]
-    words = listings.select("id", F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z]+"))).alias("word")).where(F.length("word") >= 5)
-    seen = _frequent(words.groupBy("word").agg(F.count("*").alias("n")), "word", 3, most_words)
-    brands = [*known, *((f"~{h}", h) for h in own)]
-    plain = frozenset(ORDINARY) | TYPE_WORDS | {w for f in flavours for w in f.split()} | {w for _, n in brands for w in unleeted(folded(n)).split()}
-    maker = NameMatcher(brands)
-    often = dict(seen)
-    weight: dict[str, int] = {}
-    for key, name in brands:
-        weight[key] = max([weight.get(key, 0), *(often.get(w, 0) for w in unleeted(folded(name)).split() if w not in maker.common)])
-    told = [w for w in plain if len(w) >= 5 and w in often]
-    lines: list[str] = []
-    for word, n in seen:
-        if word in plain or flavour_key(word) in flavours or any(often[o] > 5 * n and (o.startswith(word) or o.endswith(word) or edits(word, o, 2) <= 2) for o in (*lines, *told)):
-            continue
-        if (key := maker.match(word)) is None or weight[key] < n:
-            lines.append(word)
-    alone = _one_per_title(words, lines)
-    return Vocabulary(brands, alone, flavours, list(ORDINARY), sorted(set(lines) - set(alone)))
-
-
-def _one_per_title(words: DataFrame, lines: list[str], most: float = 0.5) -> list[str]:
-    """Of candidate lines those that mostly stand alone in a title: a title names one line, but ordinary words come with others."""
-    if not lines:
-        return []
-    each = words.where(F.col("word").isin(lines)).groupBy("id").agg(F.collect_list("word").alias("w")).select(F.size("w").alias("k"), F.explode("w").alias("word"))
-    shared = {r.word: r.s for r in each.groupBy("word").agg(F.avg((F.col("k") > 1).cast("int")).alias("s")).collect()}
-    return [w for w in lines if shared.get(w, 0.0) <= most]
 
+def count_texts(cut: DataFrame) -> DataFrame:
+    """(role, text, own, n): how many listings have each word, pair, brand field and said flavour; counted in each task first."""
+    own = (F.col("role") == FLAVOUR) & (F.col("text") == F.col("taste"))
+    each = _looked(cut).withColumn("own", F.coalesce(own, F.lit(False))).where((F.col("role") != FLAVOUR) | F.col("own")).select("role", "text", "own")
+    plain = cut.select(F.explode(F.array_distinct("title")).alias("text")).where(F.col("text").isin(*sorted(PLAIN))).select(F.lit(WORD).alias("role"), "text", F.lit(False).alias("own"))
+    return cut_lineage(each.unionByName(plain).groupBy("role", "text", "own").agg(F.count("*").alias("n")))
 
-def _nearest_size(low: Column, high: Column, sizes: Column) -> Column:
-    """The known size nearest to the middle of a range, among those in it; the middle itself if none is."""
-    middle = (low + high) / 2
-    inside = F.filter(sizes, lambda s: (s >= low - 1e-6) & (s <= high + 1e-6))
-    best = F.array_min(F.transform(inside, lambda s: F.struct(F.abs(s - middle).alias("far"), s.alias("size"))))["size"]
-    return F.coalesce(best, middle)
 
+def read_profiles(cut: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """id and the six attributes of each listing, and its own words in case no line is found; what isn't said is null.
 
-def read_profiles(listings: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """id and the six attributes of each listing, and its own words in case no line is found; what isn't said is null."""
+    Each listing gets its own entries of the dictionary by a join on the texts it looks up, so the dictionary is
+    never held whole by a task unless it is small.
+    """
+    met = _looked(cut).select("id", "role", "text").join(broadcast_if_small(dictionary, 200_000), ["role", "text"])
+    entry = F.concat_ws("\t", "role", "text", F.coalesce("line", F.lit("")), F.coalesce("maker", F.lit("")), F.coalesce("flavour", F.lit("")), F.coalesce("spelled", F.lit("")), F.col("explained").cast("int").cast("string"), F.col("vague").cast("int").cast("string"), F.col("weight").cast("string"))
+    held = met.groupBy("id").agg(F.collect_list(F.when(F.col("role") == BRAND, F.concat_ws("\t", F.lit(BRAND), "maker")).otherwise(entry)).alias("entries"))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(vocabulary)
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for row in batch.itertuples(index=False):
-                net = None if row.net is None or row.net != row.net else float(row.net)
-                maker, line, kind, taste, said, own = reader.read(row.brand, row.title, row.flavour, net)
-                if maker is None and (bare := bare_brand(row.brand)) not in NO_BRAND:
-                    maker = f"?{bare.replace(' ', '')}"
-                rows.append((row.id, maker, line, kind, taste, own, said.low, said.high, said.exact, said.count, said.total_low, said.total_high))
-            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
-            yield frame.astype({"pieces": "Int32", "exact": "bool", "low": "float64", "high": "float64", "total_low": "float64", "total_high": "float64"})
-
-    said = cut_lineage(listings.select("id", "brand", "title", "flavour", "net").mapInPandas(read, _READ))
-    said = said.select("id", "maker", "line", "kind", "taste", "own", "exact", "pieces", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("low", "high", "total_low", "total_high")])
+            for key, title, brand, flavour, taste, entries in zip(batch["id"], batch["title"], batch["brand"], batch["flavour"], batch["taste"], batch["entries"]):
+                known, maker = Entries({}, {}, {}), None
+                for told in () if entries is None else entries:
+                    parts = told.split("\t")
+                    if parts[0] == BRAND:
+                        maker = parts[1]
+                    elif parts[0] == FLAVOUR:
+                        known.flavours[parts[1]] = parts[4]
+                    else:
+                        meaning = Meaning(parts[2] or None, parts[3] or None, parts[4] or None, parts[5] or None, parts[6] == "1", parts[7] == "1", int(parts[8]))
+                        (known.words if parts[0] == WORD else known.joined)[parts[1]] = meaning
+                rows.append((key, *read(Cut(list(title), list(brand), list(flavour), taste, Quantity()), maker, known)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
+
+    words = cut.join(held, "id", "left").select("id", "title", "brand", "flavour", "taste", "entries").mapInPandas(look, _READ)
+    said = cut_lineage(words.join(cut.select("id", *_SIZES), "id"))
     # sizes of a type that at least one in a hundred of its exact statements has, and its pack counts likewise
     stated = said.where(F.col("exact") & F.col("kind").isNotNull()).groupBy("kind", F.round("low", 3).alias("size")).count()
     packed = said.where(F.col("pieces").isNotNull() & F.col("kind").isNotNull()).groupBy("kind", "pieces").count()
@@ -156,36 +109,75 @@ def read_profiles(listings: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return said.select("id", "maker", "line", "kind", "taste", "own", F.round(size, 1).alias("size"), count.cast("int").alias("pieces"))
 
 
+def _nearest_size(low: Column, high: Column, sizes: Column) -> Column:
+    """The known size nearest to the middle of a range, among those in it; the middle itself if none is."""
+    middle = (low + high) / 2
+    inside = F.filter(sizes, lambda s: (s >= low - 1e-6) & (s <= high + 1e-6))
+    best = F.array_min(F.transform(inside, lambda s: F.struct(F.abs(s - middle).alias("far"), s.alias("size"))))["size"]
+    return F.coalesce(best, middle)
+
+
 def _usual(counted: DataFrame, column: str, name: str, share: float = 0.01) -> DataFrame:
     whole = counted.groupBy("kind").agg(F.sum("count").alias("all"))
     return counted.join(whole, "kind").where(F.col("count") >= share * F.col("all")).groupBy("kind").agg(F.array_sort(F.collect_set(column)).alias(name))
 
 
+_GAPS = ("kind", "line", "maker")
+# Beside the block of all that a profile says: what may be filled from looser blocks, once all profiles of the block agree.
+_LOOSER = (("maker", ("line", "kind")), ("kind", ("maker", "line")))
+
+
 def merge_profiles(profiles: DataFrame) -> DataFrame:
-    """(profile columns..., merged columns m_...) for each distinct profile, merged until nothing changes.
+    """(profile columns p_..., merged columns m_...) for each distinct profile, merged until nothing changes.
 
-    A profile may lack any of type, line and maker; it is blocked on all it says. If all complete profiles of its
-    block agree in what it lacks, it takes that; one whose type is none of the known ones takes a known type
-    likewise. A profile so filled equals a complete one that was there, so no second round would find more.
+    A profile may lack any of type, line and maker; a type that none of the known ones is counts as lacking beside
+    known ones. In each round it is blocked on all it says, and on the two of maker, line and type that it says; if
+    the richer profiles of a block agree in what it lacks, it takes that. Profiles made richer are in the next
+    round's blocks. Every change fills an attribute, so it ends; only profiles with gaps are joined.
     """
-    current = cut_lineage(profiles.select(*[F.col(c).alias(f"p_{c}") for c in PROFILE], *PROFILE))
     odd = F.col("kind").startswith("other")
-    gaps = F.concat_ws(" ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("kind", "line", "maker")])
+    gaps = F.concat_ws(" ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in _GAPS])
     gaps = F.when((gaps == "") & odd, F.lit("kind")).otherwise(gaps)
-    complete = current.where(_all_said(PROFILE))
-    filled = current.limit(0)
-    for (pattern,) in current.select(gaps.alias("gaps")).where("gaps <> ''").distinct().collect():
-        lacking = pattern.split()
-        rest = [c for c in PROFILE if c not in lacking]
-        richer = complete.where(~odd) if "kind" in lacking else complete
-        said = richer.groupBy(*rest).agg(F.min(F.struct(*lacking)).alias("least"), F.max(F.struct(*lacking)).alias("greatest"))
-        poor = current.where((gaps == pattern) & _all_said(rest)).drop(*lacking)
-        taken = poor.join(said.where(F.col("least") == F.col("greatest")), rest).withColumns({c: F.col("least")[c] for c in lacking})
-        filled = filled.unionByName(taken.select(*current.columns))
-    filled = cut_lineage(filled)
+    start = cut_lineage(profiles.select(*[F.col(c).alias(f"p_{c}") for c in PROFILE], *PROFILE).withColumn("round", F.lit(0)))
+    whole, poor = start.where(gaps == ""), start.where(gaps != "")
+    odd_whole = start.where((gaps == "kind") & F.col("kind").isNotNull())
+    turn = 0
+    while True:
+        turn += 1
+        tried = poor.withColumn("gaps", gaps)
+        changed = tried.limit(0)
+        for (pattern,) in tried.select("gaps").distinct().collect():  # at most one row per set of the three gaps
+            lacking = pattern.split()
+            rest = [c for c in PROFILE if c not in lacking]
+            richer = whole if "kind" in lacking else whole.unionByName(odd_whole)
+            changed = changed.unionByName(_filled(tried.where(F.col("gaps") == pattern), richer, lacking, rest))
+        changed = cut_lineage(changed)
+        left = _without(tried, changed)
+        for lacking, block in _LOOSER:
+            more = cut_lineage(_filled(left.where(F.col(lacking).isNull()), whole.unionByName(poor), [lacking], list(block)))
+            changed = changed.unionByName(more)
+            left = _without(left, more)
+        changed = cut_lineage(changed.drop("gaps").withColumn("round", F.lit(turn)))
+        if changed.isEmpty():
+            break
+        whole = cut_lineage(whole.unionByName(changed.where(gaps == "")))
+        poor = cut_lineage(left.drop("gaps").unionByName(changed.where(gaps != "")))
+    return whole.unionByName(poor).select(*[f"p_{c}" for c in PROFILE], *[F.col(c).alias(f"m_{c}") for c in PROFILE], "round")
+
+
+def _without(profiles: DataFrame, taken: DataFrame) -> DataFrame:
     same = [F.col(f"x.p_{c}").eqNullSafe(F.col(f"y.p_{c}")) for c in PROFILE]
-    merged = current.alias("x").join(filled.alias("y"), same, "left_anti").unionByName(filled)
-    return merged.select(*[f"p_{c}" for c in PROFILE], *[F.col(c).alias(f"m_{c}") for c in PROFILE])
+    return profiles.alias("x").join(taken.alias("y"), same, "left_anti")
+
+
+def _filled(poor: DataFrame, richer: DataFrame, lacking: list[str], block: list[str]) -> DataFrame:
+    """The poor profiles whose block's richer profiles agree in all that is lacking, with that filled in."""
+    asked = poor.where(_all_said(block))
+    keys = broadcast_if_small(cut_lineage(asked.select(*block).distinct()))
+    of_block = richer.where(_all_said([*block, *lacking])).join(keys, block, "left_semi")
+    said = of_block.groupBy(*block).agg(F.min(F.struct(*lacking)).alias("least"), F.max(F.struct(*lacking)).alias("greatest"))
+    taken = asked.drop(*lacking).join(said.where(F.col("least") == F.col("greatest")), block)
+    return taken.withColumns({c: F.col("least")[c] for c in lacking}).select(*poor.columns)
 
 
 def _all_said(columns: list[str]) -> Column:
@@ -211,10 +203,10 @@ def same_products(
     """(listing_id, product): the listings that say enough, with the product each describes.
 
     Defined cases: a listing that says nowhere its flavour or its size describes no product and gives no row; the
-    same holds for one whose brand, line or type neither it nor a single richer profile says, where a title's words
-    that nothing else explains are a line of their own; without a pack count
-    the net quantity decides, else it is one; of rows with one id the last observed, then last ingested counts; a
-    null id gives no row; an empty table gives none; other columns are ignored.
+    same holds for one whose brand, line or type neither it nor richer profiles that agree say, where a title's words
+    that nothing else explains are a line of their own, however rare; without a pack count the net quantity decides,
+    else it is one; of rows with one id the last observed, then last ingested counts; a null id gives no row; an
+    empty table gives none; other columns are ignored.
     """
     once = latest_by(
         listings.select(
@@ -224,17 +216,30 @@ def same_products(
         ["id"],
         ["at", "in"],
     )
-    once = cut_lineage(once)
+    cut = cut_listings(once)
     known = canonical_names(brand_sources, "brand_source_id", "brand_name", "brand_aliases", max_entries)
-    said = cut_lineage(read_profiles(once, learn_vocabulary(once, known)).where(F.col("taste").isNotNull() & F.col("size").isNotNull()))
+    dictionary = mark_companions(learn_dictionary(count_texts(cut), known), _looked(cut))
+    said = cut_lineage(read_profiles(cut, dictionary).where(F.col("taste").isNotNull() & F.col("size").isNotNull()))
     merged = merge_profiles(said.select(*PROFILE).distinct())
     same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in PROFILE]
-    whole = said.join(merged, same).withColumn("m_line", F.coalesce("m_line", "own")).where(_all_said([f"m_{c}" for c in PROFILE]))
+    # a title's own words may be a typing error of the line that its profile was given, but are no other line
+    typed = F.levenshtein(F.substring("own", 2, 2**31 - 1), F.col("m_line"), 3).between(0, 3)
+    line = F.when(F.col("own").isNull() | (F.col("line").isNotNull()) | F.coalesce(typed, F.lit(False)), F.col("m_line")).otherwise(F.col("own"))
+    whole = said.join(merged, same).withColumn("m_line", line).where(_all_said([f"m_{c}" for c in PROFILE]))
     return whole.select(F.col("id").alias(id_column), F.concat_ws("|", *[f"m_{c}" for c in PROFILE]).alias("product"))
 
 
 def product_pairs(members: DataFrame, id_column: str = "listing_id") -> DataFrame:
-    """Each two listings of one product once, smaller id first; a join on the product, so no task gathers a product."""
+    """Each two listings of one product once, smaller id first; a join on the product, so no task gathers a product.
+
+    Their number grows with the square of a product's listings; ``representative_pairs`` says the same in one row each.
+    """
     a = members.select("product", F.col(id_column).alias(f"{id_column}_a"))
     b = members.select("product", F.col(id_column).alias(f"{id_column}_b"))
     return a.join(b, "product").where(F.col(f"{id_column}_a") < F.col(f"{id_column}_b")).select(f"{id_column}_a", f"{id_column}_b")
+
+
+def representative_pairs(members: DataFrame, id_column: str = "listing_id") -> DataFrame:
+    """Each listing with its product's representative, the listing of the smallest id, and how many listings the product has."""
+    heads = members.groupBy("product").agg(F.min(id_column).alias("representative"), F.count("*").alias("listings"))
+    return members.join(heads, "product").select(id_column, "representative", "listings")
