@@ -7,8 +7,8 @@ as the listing's own small part of the dictionary, with which it is then read (`
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 from granary.llm.names import allowed_edits, edits, folded, unleeted
 
@@ -151,20 +151,39 @@ def cut_listing(brand: str | None, title: str | None, flavour: str | None, net:
     if flavour and said.low is None:
         more, _ = quantity_of(flavour, None)
         said.low, said.high, said.exact, said.count = more.low, more.high, more.exact, said.count or more.count
-    words = [[w for w in words_of(t) if not w.isdigit()] for t in (rest, brand, flavour)]
-    return Cut(*words, flavour_key(flavour), said)
+    return Cut([w for w in words_of(rest) if not w.isdigit()], _field_words(brand), _field_words(flavour), _field_key(flavour), said)
+
+
+@lru_cache(maxsize=50_000)
+def _field_words(text: str | None) -> list[str]:
+    return [w for w in words_of(text) if not w.isdigit()]
+
+
+_field_key = lru_cache(maxsize=50_000)(flavour_key)
 
 
 def _windows(words: list[str]) -> list[tuple[int, int, str]]:
     """(first, past last, flavour key) of up to four neighbouring words, the longest first, without those that only ordinary words make up."""
     found = []
-    for wide in range(min(WIDEST, len(words)), 0, -1):
-        for i in range(len(words) - wide + 1):
-            window = [w for w in words[i : i + wide] if w not in _NO_FLAVOUR_WORD]
-            if words[i] in _NO_FLAVOUR_WORD or not window or all(w in _ORDINARY for w in window):
+    last = len(words)
+    for i, first in enumerate(words):
+        if first in _NO_FLAVOUR_WORD:
+            continue
+        window, ordinary = [first], first in _ORDINARY
+        if not ordinary:
+            found.append((i, i + 1, first))
+        for j in range(i + 1, min(i + WIDEST, last)):
+            word = words[j]
+            if word in _NO_FLAVOUR_WORD:
+                continue
+            window.append(word)
+            ordinary = ordinary and word in _ORDINARY
+            if ordinary:
                 continue
-            if len(window) == len(set(window)) or len(set(window)) == 1:
-                found.append((i, i + wide, " ".join(sorted(set(window)))))
+            kinds = set(window)
+            if len(kinds) == len(window) or len(kinds) == 1:
+                found.append((i, j + 1, " ".join(sorted(kinds))))
+    found.sort(key=lambda w: w[0] - w[1])
     return found
 
 

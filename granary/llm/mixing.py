@@ -6,7 +6,8 @@ import base64
 import os
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.session import broadcast_if_small, cut_lineage
@@ -17,16 +18,21 @@ _CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 _BUCKETS = 1 << 16
 
 
-def token_count(path: str = TOKENIZER):
-    """A vectorised function from text to its number of tokens under the rank file at ``path``; 0 for null."""
+def token_count(spark: SparkSession, path: str = TOKENIZER):
+    """A vectorised function from text to its number of tokens under the rank file at ``path``; 0 for null.
+
+    The file is sent to the executors, which need no path of their own to it.
+    """
     loaded: list = []
+    name = os.path.basename(path)
+    spark.sparkContext.addFile(path)
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         if not loaded:
             import tiktoken
 
-            with open(path, "rb") as lines:
+            with open(SparkFiles.get(name), "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
             loaded.append(tiktoken.Encoding("ranks", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={}))
         encode = loaded[0].encode_ordinary
@@ -39,7 +45,7 @@ def sized_documents(documents: DataFrame, targets: DataFrame, *, doc: str = "doc
     """doc, src, tokens of the documents whose source is listed, each id once. Only these three columns are shuffled."""
     listed = broadcast_if_small(targets.select(F.col(source).alias("src")).where(F.col("src").isNotNull()).distinct())
     held = documents.select(F.col(doc).alias("doc"), F.col(source).alias("src"), F.col(text).alias("text")).where(F.col("doc").isNotNull()).join(listed, "src", "left_semi")
-    counted = held.select("doc", "src", token_count(tokenizer)("text").alias("tokens"))
+    counted = held.select("doc", "src", token_count(documents.sparkSession, tokenizer)("text").alias("tokens"))
     return cut_lineage(counted.groupBy("doc").agg(F.max(F.struct("src", "tokens")).alias("m")).select("doc", "m.src", "m.tokens"))
 
 
@@ -60,10 +66,11 @@ def _uniform(doc: Column, seed: int) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), doc), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def inclusion(sized: DataFrame, plan: DataFrame, max_rounds: int = 50) -> DataFrame:
+def inclusion(sized: DataFrame, plan: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Adds pi, the chance of one more copy: proportional to ``weight``, at most 1, so that the expected tokens are the source's rest.
 
-    Documents whose share would pass 1 are certain; the others share what remains, until no further one passes 1.
+    Documents whose share would pass 1 are certain; the others share what remains, until no further one passes 1;
+    an error if that takes more than ``max_rounds``.
     """
     docs = sized.join(broadcast_if_small(plan.where(F.col("rest") > 0).select("src", "rest")), "src")
     scale = None
@@ -83,6 +90,8 @@ def inclusion(sized: DataFrame, plan: DataFrame, max_rounds: int = 50) -> DataFr
         scale = new
         if docs.select(F.max("weight") == F.min("weight")).first()[0]:
             break
+    else:
+        raise RuntimeError(f"the inclusion chances still change after {max_rounds} rounds")
     return docs.join(broadcast_if_small(scale.select("src", "scale")), "src").withColumn("pi", F.least(F.col("weight") * F.col("scale"), F.lit(1.0)))
 
 

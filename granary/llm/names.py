@@ -35,9 +35,19 @@ def folded(text: str | None) -> str:
     return _GAP.sub(" ", plain.replace("'", "").replace("’", "")).strip()
 
 
+_DIGIT, _MIXED = re.compile(r"\d"), re.compile(r"[a-z]")
+
+
 def unleeted(text: str) -> str:
     """Digits within words of letters as the letters they stand for; a digit that ends a word stays."""
-    return " ".join(w[:-1].translate(_LEET) + (w[-1] if w[-1].isdigit() and w[:-1].isalpha() else w[-1].translate(_LEET)) if re.search(r"[a-z]", w) else w for w in text.split())
+    if not _DIGIT.search(text):
+        return text
+    return " ".join(_letters(w) if _DIGIT.search(w) and _MIXED.search(w) else w for w in text.split())
+
+
+def _letters(word: str) -> str:
+    stem, last = word[:-1].translate(_LEET), word[-1]
+    return stem + (last if last.isdigit() and word[:-1].isalpha() else last.translate(_LEET))
 
 
 def edits(a: str, b: str, most: int) -> int:

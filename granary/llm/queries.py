@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.canonical import map_to_canonical
 from granary.llm.leaks import leaked_items
-from granary.llm.mixing import mix, short_sources
+from granary.llm.mixing import mix
 from granary.llm.resolve import product_pairs, same_products
 from granary.llm.spam import spam_pages
 from granary.llm.survivors import claims_of, discover_truth, surviving_values
@@ -37,7 +37,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return short_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    """Of the report on the whole mix, drawn as in ``p9_mix``."""
+    return _mixed(spark, folder)[1].where("short").select("source")
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -91,28 +91,47 @@ def claims_of(records: DataFrame, *, group: str = "product_id", record: str = "r
     return said.where(F.col("c.value").isNotNull()).groupBy("g", F.col("c.field").alias("field"), "src", F.col("c.value").alias("value")).agg(F.min("r").alias("r"))
 
 
-def discover_truth(claims: DataFrame, *, start: float = 0.8, tolerance: float = 1e-3, max_rounds: int = 20, keep_every: int = 1) -> tuple[DataFrame, DataFrame]:
+_FEW_SOURCES = 1_000
+
+
+def _support(values: DataFrame, trust: DataFrame) -> DataFrame:
+    """Adds support, the summed log odds of the reliabilities of a value's sources."""
+    odds = F.log(F.col("reliability") / (1 - F.col("reliability")))
+    weights = trust.select("src", odds.alias("odds"))
+    few = weights.limit(_FEW_SOURCES + 1).collect()
+    if len(few) <= _FEW_SOURCES:  # a small map goes along with the expression: no join and no shuffle
+        by_source = F.create_map(*[x for r in few for x in (F.lit(r.src), F.lit(r.odds))]) if few else F.create_map().cast("map<string,double>")
+        return values.withColumn("support", F.aggregate("sources", F.lit(0.0), lambda total, s: total + F.coalesce(F.element_at(by_source, s), F.lit(0.0))))
+    said = values.select("g", "field", "value", F.explode("sources").alias("src")).join(weights, "src").groupBy("g", "field", "value").agg(F.sum("odds").alias("support"))
+    return values.join(said, ["g", "field", "value"])
+
+
+def discover_truth(claims: DataFrame, *, start: float = 0.8, tolerance: float = 1e-3, max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
     """Iterative truth discovery over (g, field, src, value, r): the best supported values, and each source's reliability.
 
     In turn, each value gets the summed log odds of its sources' reliabilities, the highest is taken per group and
     field (ties: the value whose first record is smallest), and a source's reliability becomes the smoothed share
-    of its claims that were taken. Ends when no reliability moves by more than ``tolerance``. A source's weight
-    travels by broadcast when there are few sources, else by a join; values are summed before they are ranked, so
-    no task holds a group's claims.
+    of its claims that were taken. Ends when no reliability moves by more than ``tolerance``; ``settled`` of the
+    reliabilities is false if ``max_rounds`` passed before.
+
+    Claims are gathered once into one row per value with its sources. A round is then a map over these rows, an
+    aggregate that keeps one value per group and field and task before it shuffles, and a count per source of the
+    taken values' own sources: nothing is joined back to the claims. A group's values are never gathered.
     """
-    claims = cut_lineage(claims)
-    trust = claims.select("src").distinct().withColumn("reliability", F.lit(start))
-    truth = None
+    values = cut_lineage(claims.groupBy("g", "field", "value").agg(F.min("r").alias("r"), F.collect_set("src").alias("sources")))
+    claimed = cut_lineage(values.select(F.explode("sources").alias("src")).groupBy("src").agg(F.count("*").alias("claims")))
+    trust = claimed.select("src", F.lit(start).alias("reliability"))
+    settled = False
     for _ in range(max_rounds):
-        trust = broadcast_if_small(cut_lineage(trust))
-        odds = F.log(F.col("reliability") / (1 - F.col("reliability")))
-        support = claims.join(trust, "src").groupBy("g", "field", "value").agg(F.sum(odds).alias("support"), F.min("r").alias("r"))
-        top = F.max(F.struct(F.round("support", 9).alias("support"), (-F.col("r")).alias("back"), "value", "r"))
-        truth = cut_lineage(support.groupBy("g", "field").agg(top.alias("t")).select("g", "field", "t.value", "t.support", "t.r"))
-        taken = claims.join(truth.select("g", "field", "value", F.lit(1.0).alias("taken")), ["g", "field", "value"], "left")
-        renewed = taken.groupBy("src").agg(((F.sum(F.coalesce("taken", F.lit(0.0))) + 8 * start) / (F.count("*") + 8)).alias("renewed"))
-        moved = renewed.join(trust, "src").agg(F.max(F.abs(F.col("renewed") - F.col("reliability"))).alias("m")).first()["m"]
-        trust = renewed.select("src", F.least(F.greatest(F.col("renewed"), F.lit(0.01)), F.lit(0.99)).alias("reliability"))
+        top = F.max(F.struct(F.round("support", 9).alias("support"), (-F.col("r")).alias("back"), "value", "r", "sources"))
+        truth = cut_lineage(_support(values, trust).groupBy("g", "field").agg(top.alias("t")).select("g", "field", "t.value", "t.support", "t.r", "t.sources"))
+        taken = truth.select(F.explode("sources").alias("src")).groupBy("src").agg(F.count("*").alias("taken"))
+        share = (F.coalesce("taken", F.lit(0)) + 8 * start) / (F.col("claims") + 8)
+        renewed = claimed.join(taken, "src", "left").select("src", F.least(F.greatest(share, F.lit(0.01)), F.lit(0.99)).alias("renewed"))
+        both = cut_lineage(renewed.join(trust, "src"))
+        trust = both.select("src", F.col("renewed").alias("reliability"))
+        moved = both.agg(F.max(F.abs(F.col("renewed") - F.col("reliability"))).alias("m")).first()["m"]
         if moved is None or moved <= tolerance:
+            settled = True
             break
-    return truth, cut_lineage(trust)
+    return truth.drop("sources"), trust.withColumn("settled", F.lit(settled))

@@ -12,9 +12,10 @@ from granary.llm.canonical import map_to_canonical
 from granary.llm.leaks import leaked_items
 from granary.llm.listings import flavour_key, quantity_of
 from granary.llm.mixing import allocate, mix, short_sources, sized_documents
-from granary.llm.names import NameMatcher, edits, folded
+from granary.llm.names import NameMatcher, allowed_edits, edits, folded
+from granary.llm.near import near_pairs
 from granary.llm.queries import QUERIES
-from granary.llm.resolve import PROFILE, merge_profiles, product_pairs, same_products
+from granary.llm.resolve import PROFILE, merge_profiles, product_pairs, representative_pairs, same_products
 from granary.llm.spam import NAMES, NUMBER, Batch, Model, classes_of, pieces_of, spam_pages
 from granary.llm.survivors import claims_of, discover_truth, observed_time, surviving_values
 
@@ -146,6 +147,21 @@ def test_lines_do_not_depend_on_the_number_of_listings(spark, brands):
     assert rows(product_pairs(found)) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (5, 6)]
 
 
+def test_neighbours_against_brute_force(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(160)})
+    frame = spark.createDataFrame([(w, 1) for w in words], "word string, n int")
+    targets = spark.createDataFrame([(w, 3) for w in words[::3]], "target string, weight int")
+    want = sorted((w, t, 3, edits(w, t, 2)) for w in words for t in words[::3] if w != t and min(len(w), len(t)) >= 5 and edits(w, t, 2) <= allowed_edits(len(t)))
+    assert sorted(map(tuple, near_pairs(frame, targets, 2).collect())) == want and want
+    assert near_pairs(frame, targets, 3).isEmpty()
+
+
+def test_representatives(spark):
+    members = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (7, "a")], "listing_id long, product string")
+    assert rows(representative_pairs(members)) == [(1, 1, 3), (2, 2, 1), (3, 1, 3), (7, 1, 3)]
+
+
 def test_quantities_and_flavours():
     said, rest = quantity_of("Voranis 4 x 90g skyr", 0.36)
     assert (said.low, said.count) == (90.0, 4) and said.total_low < 360 < said.total_high and "90" not in rest
@@ -269,6 +285,24 @@ def test_leaks(spark):
     assert rows(leaked_items(df.limit(0), items)) == [] and rows(leaked_items(df, items.limit(0))) == []
 
 
+def test_leaks_of_documents_of_numbers_only(spark):
+    numbers = " ".join(str(i % 977) for i in range(20_000))
+    item = "The twelve readings were 4 8 15 16 23 42 4 8 15 16 23 42 in that order of the day."
+    docs = spark.createDataFrame([(1, numbers), (2, "0 " * 20_000), (3, PROSE + "4 8 15 16 23 42 4 8 15 16 23 42" + PROSE), (4, item.replace("15", "99"))], "doc_id long, text string")
+    found = {r.doc_id: r for r in leaked_items(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(found) == {3, 4} and found[4].exchanged == 1 and found[4].consistent
+
+
+def test_consistent_slots_show_a_reworked_copy(spark):
+    item = "mix 12 g oats with 30 g milk and add 12 g honey for 7 days at 45 degrees in 18 jars"
+    other = {"12": "9", "30": "31", "7": "8", "45": "44", "18": "19"}
+    same = " ".join(other.get(w, w) for w in item.split())
+    mixed = same[::-1].replace("9", "6", 2)[::-1]  # the second 9 and the 19 differ
+    df = spark.createDataFrame([(1, same), (2, mixed), (3, item)], "doc_id long, text string")
+    found = {r.doc_id: r for r in leaked_items(df, spark.createDataFrame([(1, item)], "item_id long, text string"), share=0.8).collect()}
+    assert set(found) == {1, 3} and found[1].reworked and found[1].exchanged == 6 and not found[3].reworked
+
+
 # --- spam ------------------------------------------------------------------------------------------------------------
 
 
