@@ -54,7 +54,7 @@ def issue(condition: Column, code: str, field: str, severity: str | Column = "er
 
 
 def validation_issues(values: dict[str, Column], basis: Column, net_grams: Column | None = None, serving_grams: Column | None = None) -> Column:
-    """Array of struct(code, severity, field) over calories, protein, carbohydrate, sugar, fat, saturated_fat, fibre and sodium."""
+    """The codes and limits of each rule. Array of struct(code, severity, field) over calories, protein, carbohydrate, sugar, fat, saturated_fat, fibre and sodium."""
     none = F.lit(None).cast("double")
     kcal, p, c, s, f, sat = (values.get(k, none) for k in ("calories", "protein", "carbohydrate", "sugar", "fat", "saturated_fat"))
     grams = [k for k in ("protein", "carbohydrate", "sugar", "fat", "saturated_fat", "fibre") if k in values]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -13,30 +15,49 @@ _SIGNS = "[™®©]"
 _BETA = "[βΒ]"
 
 
-def _latin() -> tuple[str, str]:
-    """Accented Latin letters (U+00C0 to U+017F) and the plain letter each decomposes to."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x180)]
-    kept = [(a, b) for a, b in pairs if b.isascii() and b.isalpha()]
-    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+def _decompositions() -> tuple[str, list[tuple[str, str]]]:
+    """Characters whose compatibility decomposition has letters or digits of ASCII, or '&': the one-for-one map's source, and (character, text) of the longer ones."""
+    single, longer = [], []
+    for code in range(0xA0, sys.maxunicode + 1):
+        char = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not "\u0300" <= c <= "\u036f")
+        if plain != char and any(c.isascii() and (c.isalnum() or c == "&") for c in plain):
+            (single if len(plain) == 1 else longer).append((char, plain))
+    return single, longer
 
 
-def normalize_text(text: Column, mode: str = "ascii") -> Column:
-    """Lower-case letters and digits in words: signs dropped, accents folded, '&' spelled out; '' for null.
+_FOLDS: list = []
 
-    ``ascii`` folds accented Latin letters with built-in functions; ``nfkd`` applies Unicode compatibility
-    decomposition in an Arrow function, which also folds ligatures, fractions and full-width letters.
+
+def _folded(text: Column) -> Column:
+    """Compatibility decomposition without combining marks, as far as letters and digits of ASCII come out of it.
+
+    Characters that decompose to one letter are translated in one pass; those that decompose to several (ligatures,
+    fractions, Roman numerals and the like) are few, and only texts that hold one are looked at for them.
+    """
+    if not _FOLDS:
+        _FOLDS.extend(_decompositions())
+    single, longer = _FOLDS
+    one = F.regexp_replace(F.translate(text, "".join(a for a, _ in single), "".join(b for _, b in single)), "[\u0300-\u036f]", "")
+    table = F.create_map(*[F.lit(x) for pair in longer for x in pair])
+    spelled = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(one.rlike("[" + "".join(a for a, _ in longer) + "]"), spelled).otherwise(one)
+
+
+def normalize_text(text: Column) -> Column:
+    """Lower-case letters and digits in words: signs dropped, compatibility forms and accents folded, '&' spelled out; '' for null.
+
+    All of it is built-in expressions; ``plain_text`` is the same on the driver.
     """
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _SIGNS, ""), _BETA, " beta ")
-    if mode == "nfkd":
-        bare = _decomposed(bare)
-    else:
-        bare = F.regexp_replace(F.translate(bare, *_latin()), "[\u0300-\u036f]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), "&", " and "), "[^a-z0-9]+", " "))
+    plain = F.when(bare.rlike("^[ -~]*$"), bare).otherwise(_folded(bare))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain), "&", " and "), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf(StringType())
-def _decomposed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f") if t else t)
+def plain_text(text: str) -> str:
+    bare = re.sub(_BETA, " beta ", re.sub(_SIGNS, "", text))
+    bare = "".join(c for c in unicodedata.normalize("NFKD", bare) if not "\u0300" <= c <= "\u036f")
+    return re.sub("[^a-z0-9]+", " ", bare.lower().replace("&", " and ")).strip()
 
 
 @F.pandas_udf(StringType())
@@ -75,18 +96,17 @@ def composite_key(brand: Column, name: Column, flavour: Column, grams: Column) -
     return F.when(F.coalesce(said, F.lit(False)), F.concat_ws("|", *parts, plain_number(grams)))
 
 
-# Units of a printed quantity and what one is in grams or millilitres.
+# Units of a printed quantity, as patterns, and what one is in grams or millilitres; and the whole pattern.
 _MASS = {"kilograms?|kgs?": 1000.0, "grams?|g": 1.0}
 _VOLUME = {"millilit(?:er|re)s?|ml": 1.0, "centilit(?:er|re)s?|cl": 10.0, "decilit(?:er|re)s?|dl": 100.0, "lit(?:er|re)s?|l": 1000.0}
+QUANTITY = rf"(?:^|[^0-9.])(\d+(?:\.\d+)?)\s*({'|'.join([*_MASS, *_VOLUME])})\b"
 
 
 def parse_quantity(text: Column) -> Column:
     """The first positive number with a metric unit: struct(value, unit, grams, millilitres); null if there is none."""
-    units = "|".join([*_MASS, *_VOLUME])
-    pattern = rf"(?:^|[^0-9.])(\d+(?:\.\d+)?)\s*({units})\b"
     low = F.lower(F.trim(text))
-    value = F.regexp_extract(low, pattern, 1).try_cast("double")
-    unit = F.regexp_extract(low, pattern, 2)
+    value = F.regexp_extract(low, QUANTITY, 1).try_cast("double")
+    unit = F.regexp_extract(low, QUANTITY, 2)
 
     def scaled(table: dict[str, float]) -> Column:
         found = F.lit(None).cast("double")
@@ -97,17 +117,22 @@ def parse_quantity(text: Column) -> Column:
     return F.when(value > 0, F.struct(value.alias("value"), unit.alias("unit"), scaled(_MASS).alias("grams"), scaled(_VOLUME).alias("millilitres")))
 
 
+# Where a name or a description states a pack's size, the most telling first, and grams per unit there.
+_SIZE = r"(\d+(?:\.\d+)?)\s*"
+PACK_SIZES = (
+    (rf"(?i)\b{_SIZE}(?:kg|kilograms?)\b", 1000),
+    (rf"(?i)\b(?:pack(?:\s+of)?|box|jar|pouch|tub|net\s*(?:wt|weight)?|weight)\s*\(?\s*{_SIZE}(?:g|grams?)\b", 1),
+    (rf"(?i)\b{_SIZE}(?:g|grams?)\s*(?:$|[|,/(])", 1),
+)
+NET_WEIGHT = rf"(?i)\b(?:net\s*(?:wt|weight|qty)?|pack\s*weight)\s*:?\s*{_SIZE}(kg|kilograms?|g|grams?)\b"
+
+
 def declared_pack_grams(name: Column, description: Column) -> Column:
-    """Grams of a pack: a kilogram size in the name, a size after a pack word, one at the end, else the described net weight."""
-    number = r"(\d+(?:\.\d+)?)\s*"
-    grams = [
-        F.regexp_extract(name, rf"(?i)\b{number}(?:kg|kilograms?)\b", 1).try_cast("double") * 1000,
-        F.regexp_extract(name, rf"(?i)\b(?:pack(?:\s+of)?|box|jar|pouch|tub|net\s*(?:wt|weight)?|weight)\s*\(?\s*{number}(?:g|grams?)\b", 1).try_cast("double"),
-        F.regexp_extract(name, rf"(?i)\b{number}(?:g|grams?)\s*(?:$|[|,/(])", 1).try_cast("double"),
-    ]
-    net = rf"(?i)\b(?:net\s*(?:wt|weight|qty)?|pack\s*weight)\s*:?\s*{number}(kg|kilograms?|g|grams?)\b"
-    described = F.regexp_extract(description, net, 1).try_cast("double") * F.when(F.lower(F.regexp_extract(description, net, 2)).startswith("k"), 1000).otherwise(1)
-    return F.coalesce(*[F.when(g > 0, g) for g in [*grams, described]])
+    """Grams of a pack by the first pattern that finds a size above 0 in its name, else the net weight its description states."""
+    sizes = [F.regexp_extract(name, pattern, 1).try_cast("double") * factor for pattern, factor in PACK_SIZES]
+    thousand = F.when(F.lower(F.regexp_extract(description, NET_WEIGHT, 2)).startswith("k"), 1000).otherwise(1)
+    sizes.append(F.regexp_extract(description, NET_WEIGHT, 1).try_cast("double") * thousand)
+    return F.coalesce(*[F.when(size > 0, size) for size in sizes])
 
 
 def clean_tag(tag: Column) -> Column:
@@ -156,12 +181,17 @@ def category_of(*texts: Column) -> Column:
     return first_match(normalize_text(F.concat_ws(" ", *texts)), CATEGORY_RULES, "other")
 
 
+# Tags that end a line, and the entities that are decoded.
+LINE_ENDS = r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6])\s*>"
+ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&#(?:0*39|x27);": "'", "&quot;": '"'}
+
+
 def html_to_text(html: Column) -> Column:
-    """Line ends for block tags, spaces for other tags, and the four common entities decoded."""
-    steps = ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</(?:p|div|li|tr|h[1-6])\s*>", "\n"), (r"<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&#(?:0*39|x27);", "'"), ("(?i)&quot;", '"'), (r"\r", ""))
-    for pattern, replacement in steps:
-        html = F.regexp_replace(html, pattern, replacement)
-    return html
+    """Text of a page: a line end for each tag that ends a line, a space for any other, common entities decoded."""
+    text = F.regexp_replace(F.regexp_replace(F.translate(html, "\r", ""), LINE_ENDS, "\n"), "<[^>]+>", " ")
+    for entity, char in ENTITIES.items():
+        text = F.regexp_replace(text, f"(?i){entity}", char)
+    return text
 
 
 def is_https_url(url: Column) -> Column:

@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,29 +18,40 @@ _SCRIPT = re.compile(r"<script\b[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.
 _PROPERTY = re.compile(r"<[^>]*\bitemprop=[\"']([^\"']+)[\"'][^>]*?(?:content=[\"']([^\"']*)[\"'][^>]*>|>([^<]*))", re.I)
 
 
-def _kinds(value: dict) -> list[str]:
-    kind = value.get("@type")
-    return [k for k in kind if isinstance(k, str)] if isinstance(kind, list) else [kind] if isinstance(kind, str) else []
+def _listed(value: Any) -> list:
+    return value if isinstance(value, list) else [] if value is None else [value]
+
+
+def _is_a(node: Any, kind: str) -> bool:
+    return isinstance(node, dict) and kind in _listed(node.get("@type"))
+
+
+def _nodes(value: Any) -> Iterator[dict]:
+    """The nodes of a JSON-LD document: those of its graph, else itself."""
+    for node in _listed(value):
+        if isinstance(node, dict):
+            graph = node.get("@graph")
+            yield from (n for n in graph if isinstance(n, dict)) if isinstance(graph, list) else (node,)
+
+
+def _described(node: dict) -> list[dict]:
+    """The products a node describes: itself, or the variants of a product group."""
+    if _is_a(node, "Product"):
+        return [node]
+    return [v for v in _listed(node.get("hasVariant")) if _is_a(v, "Product")] if _is_a(node, "ProductGroup") else []
+
+
+def _parsed(script: str) -> Any:
+    try:
+        return json.loads(script)
+    except (ValueError, RecursionError):
+        return None
 
 
 def json_ld_products(html: str) -> list[dict]:
-    """The products of the first JSON-LD block that has any: itself, in its graph, or variants of a product group."""
-    for script in _SCRIPT.findall(html):
-        try:
-            value = json.loads(script)
-        except ValueError:
-            continue
-        todo = value if isinstance(value, list) else [value]
-        graph = [n for e in todo if isinstance(e, dict) for n in (e["@graph"] if isinstance(e.get("@graph"), list) else [e]) if isinstance(n, dict)]
-        for node in graph:
-            if "Product" in _kinds(node):
-                return [node]
-            if "ProductGroup" in _kinds(node):
-                variants = node.get("hasVariant")
-                found = [v for v in (variants if isinstance(variants, list) else [variants]) if isinstance(v, dict) and "Product" in _kinds(v)]
-                if found:
-                    return found
-    return []
+    """The products of the first JSON-LD node that describes any."""
+    told = (_described(node) for script in _SCRIPT.findall(html) for node in _nodes(_parsed(script)))
+    return next((products for products in told if products), [])
 
 
 def microdata(html: str) -> dict[str, str]:
@@ -85,7 +97,7 @@ def products_of_pages(pages: DataFrame, id_column: str, html: str) -> DataFrame:
     return held.mapInPandas(parse, "page string, position int, name string, brand string, sku string, gtin string, evidence string")
 
 
-# Row names of a nutrition table and the unit each is declared in.
+# Row names of a nutrition table, the first that is there counting, and the unit each is declared in.
 TABLE_ROWS = {
     "calories": (("energy", "calories", "calorie"), "kcal|kilocalories?"),
     "protein": (("protein",), "g|grams?"),
@@ -99,8 +111,9 @@ TABLE_ROWS = {
 
 
 def nutrition_tables(pages: DataFrame, id_column: str, html: str) -> DataFrame:
-    """page, field, value of the one pipe table per 100 g of a page; pages with none or several give no rows.
+    """page, field, value of the one pipe table per 100 g of a page; pages with none or several, or without energy or protein, give no rows.
 
+    Of several rows for one field the one whose name stands first in ``TABLE_ROWS`` counts, then the first.
     Lines are numbered, a header row opens a table, and a running count of headers names the table each row is in;
     all of it is built-in expressions, and the window runs within one page.
     """
@@ -115,9 +128,13 @@ def nutrition_tables(pages: DataFrame, id_column: str, html: str) -> DataFrame:
     heads = rows.where(head).select("page", "nth_table", at.alias("at")).where(F.col("at") > 1)
     single = heads.groupBy("page").agg(F.count("*").alias("n"), F.min("nth_table").alias("nth_table"), F.min("at").alias("at")).where(F.col("n") == 1)
     body = rows.where(~head).join(single, ["page", "nth_table"]).withColumn("said", F.try_element_at("cells", F.col("at").cast("int")))
-    fields = F.lit(None).cast("string")
-    value = F.lit(None).cast("double")
+    field, value, rank = (F.lit(None).cast(t) for t in ("string", "double", "int"))
     for name, (names, units) in TABLE_ROWS.items():
-        fields = F.when(F.col("first").isin(*names), F.lit(name)).otherwise(fields)
-        value = F.when(F.col("first").isin(*names), F.regexp_extract("said", rf"(?i)^(\d+(?:\.\d+)?)\s*(?:{units})$", 1).try_cast("double")).otherwise(value)
-    return body.select("page", fields.alias("field"), value.alias("value")).where(F.col("field").isNotNull() & F.col("value").isNotNull()).dropDuplicates(["page", "field"])
+        here = F.col("first").isin(*names)
+        field = F.when(here, F.lit(name)).otherwise(field)
+        value = F.when(here, F.regexp_extract("said", rf"(?i)^(\d+(?:\.\d+)?)\s*(?:{units})$", 1).try_cast("double")).otherwise(value)
+        rank = F.when(here, F.array_position(F.array(*map(F.lit, names)), F.col("first")).cast("int")).otherwise(rank)
+    told = body.select("page", "nth", field.alias("field"), value.alias("value"), rank.alias("rank")).where(F.col("field").isNotNull() & F.col("value").isNotNull())
+    best = told.groupBy("page", "field").agg(F.min_by("value", F.struct("rank", "nth")).alias("value"))
+    core = best.where(F.col("field").isin("calories", "protein")).groupBy("page").agg(F.count("*").alias("n")).where("n = 2").select("page")
+    return best.join(core, "page", "left_semi")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,30 +32,38 @@ def tree_paths(nodes: DataFrame, id_column: str, parent: str, max_depth: int = 6
     raise ValueError(f"the tree is deeper than {max_depth}")
 
 
+_MARKS = re.compile(r"[(\[]|[)\]]|[,;&]")
+
+
 def split_top_level(text: str, ampersands: bool = True) -> list[str]:
-    """Parts between commas, semicolons and (unless after '-') ampersands that stand outside brackets."""
-    parts, depth, part = [], 0, ""
-    for char in text:
-        depth = depth + 1 if char in "([" else max(0, depth - 1) if char in ")]" else depth
-        cuts = char in ",;" or (char == "&" and ampersands and not part.rstrip().endswith("-"))
-        if cuts and depth == 0:
-            parts.append(part)
-            part = ""
-        else:
-            part += char
-    return [p.strip() for p in [*parts, part] if p.strip()]
+    """Parts between commas, semicolons and (unless after '-') ampersands that stand outside brackets, without those that are blank."""
+    marks = [(m.start(), m[0]) for m in _MARKS.finditer(text)]
+    steps = np.array([1 if c in "([" else -1 if c in ")]" else 0 for _, c in marks], dtype=int)
+    sums = np.cumsum(steps)
+    depths = sums - np.minimum(np.minimum.accumulate(sums), 0) if len(marks) else sums  # a closing bracket too many doesn't count
+    ends = [at for (at, c), depth in zip(marks, depths) if depth == 0 and (c in ",;" or (c == "&" and ampersands and not text[:at].rstrip().endswith("-")))]
+    parts = [text[a:b].strip() for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(text)])]
+    return [p for p in parts if p]
+
+
+def bracketed(part: str) -> str | None:
+    """What stands in the brackets that end a part which begins with something else."""
+    opens = re.search(r"[(\[]", part)
+    return part[opens.end() : -1] if opens and opens.start() > 0 and part.endswith((")", "]")) and len(part) > opens.end() + 1 else None
 
 
 def _nodes(raw: str, ampersands: bool) -> Iterator[tuple[str, str, int, str]]:
-    """(path, parent path, position, raw) of all nodes, parents first; nested parts are in the brackets that end a part."""
-    todo = [("", i, p) for i, p in enumerate(split_top_level(raw, ampersands))]
-    while todo:
-        parent, position, part = todo.pop(0)
-        path = f"{parent}.{position}" if parent else str(position)
-        yield path, parent, position, part
-        opening = min((part.find(c) for c in "([" if c in part), default=-1)
-        if opening > 0 and part[-1] in ")]" and len(part) - opening > 2:
-            todo += [(path, i, p) for i, p in enumerate(split_top_level(part[opening + 1 : -1], ampersands))]
+    """(path, parent path, position, raw) of all nodes, level by level."""
+    level = [("", raw)]
+    while level:
+        below = []
+        for parent, text in level:
+            for position, part in enumerate(split_top_level(text, ampersands)):
+                path = f"{parent}.{position}" if parent else str(position)
+                yield path, parent, position, part
+                if (inner := bracketed(part)) is not None:
+                    below.append((path, inner))
+        level = below
 
 
 def ingredient_nodes(df: DataFrame, id_column: str, text: str, ampersands: bool = True) -> DataFrame:
@@ -67,12 +78,34 @@ def ingredient_nodes(df: DataFrame, id_column: str, text: str, ampersands: bool
 
     texts = df.select(F.col(id_column).cast("string").alias("id"), F.col(text).alias("text")).where(F.trim(F.col("text")) != "")
     nodes = texts.mapInPandas(parse, "id string, path string, parent_path string, position int, raw string")
-    stem = F.when(F.regexp_extract("raw", r"^([^(\[]+)[(\[].+[)\]]$", 1) != "", F.regexp_extract("raw", r"^([^(\[]+)[(\[].+[)\]]$", 1)).otherwise(F.col("raw"))
+    ends = F.col("raw").rlike(r"[^(\[]+[(\[].+[)\]]$")
+    stem = F.when(ends, F.regexp_extract("raw", r"^[^(\[]+", 0)).otherwise(F.col("raw"))
     name = normalize_text(F.regexp_replace(stem, r"\d+(?:\.\d+)?\s*%", ""))
     said = F.regexp_extract("raw", r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
     return nodes.withColumn("name", F.nullif(name, F.lit(""))).withColumn("percentage", F.when(said <= 100, said))
 
 
+def rebuild_trees(nodes: DataFrame, id_column: str) -> DataFrame:
+    """(id, tree): the nested JSON array of each id's nodes (id, path, parent_path, position, raw), children in order of position.
+
+    A record's nodes are few and gathered per record; nodes without their parent are left out.
+    """
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            trees = []
+            for told in batch["nodes"]:
+                made = {n["path"]: {"raw": n["raw"], "position": int(n["position"]), "children": []} for n in told}
+                roots: list[dict] = []
+                for n in sorted(told, key=lambda n: (n["position"], n["path"])):
+                    if n["parent_path"] == "" or n["parent_path"] in made:
+                        (roots if n["parent_path"] == "" else made[n["parent_path"]]["children"]).append(made[n["path"]])
+                trees.append(json.dumps(roots, ensure_ascii=False, separators=(",", ":")))
+            yield pd.DataFrame({"id": batch["id"], "tree": trees})
+
+    gathered = nodes.groupBy(F.col(id_column).cast("string").alias("id")).agg(F.collect_list(F.struct("path", "parent_path", "position", "raw")).alias("nodes"))
+    return gathered.mapInPandas(build, "id string, tree string")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _top_level(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: split_top_level(t) if t is not None else None)

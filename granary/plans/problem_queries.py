@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.operators.packed import unpack_fields
 from granary.operators.shred import flatten_payloads
 from granary.operators.snapshots import snapshot_changes
-from granary.operators.units import common_amounts, observations, pairwise_scales
+from granary.operators.units import common_amounts, learned_factors, observations, pairwise_scales
 from granary.sources.tables import table
 
 
@@ -37,7 +37,12 @@ def p6_scales(spark: SparkSession, folder: str) -> DataFrame:
     return pairwise_scales(observations(texts.select(F.struct("label_id", "field").alias("entity"), "text")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_found, p6_scales)}
+def p6_factors(spark: SparkSession, folder: str) -> DataFrame:
+    """The factor of each writing of a unit, and whether the graph or the table gave it."""
+    return learned_factors(table(spark, folder, "label_products"), table(spark, folder, "nutrient_values"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_found, p6_scales, p6_factors)}
 
 ORACLE = {
     "p5_found": """

@@ -429,7 +429,7 @@ def artifact_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- entities, upserts, diff ---------------------------------------------------------------------------------------
 
-_NORM = "trim(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(replace(lower(strip_accents(regexp_replace(regexp_replace(coalesce({0}, ''), '[™®©]', '', 'g'), '[βΒ]', ' beta ', 'g'))), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 _GRAMS = "regexp_replace(net_quantity_grams::VARCHAR, '\\.0$', '')"
 _KEY = f"CASE WHEN {_NORM.format('brand')} <> '' AND {_NORM.format('item_name')} <> '' AND {_NORM.format('flavour')} <> '' AND net_quantity_grams > 0 THEN {_NORM.format('brand')} || '|' || {_NORM.format('item_name')} || '|' || {_NORM.format('flavour')} || '|' || {_GRAMS} END"
 _CLEAN = "regexp_replace(gtin, '[\\s\\-]', '', 'g')"
@@ -449,14 +449,6 @@ SELECT i.id, CASE WHEN gs.n = 1 THEN gs.m WHEN gs.n IS NULL AND ks.n = 1 THEN ks
   CASE WHEN gs.n = 1 THEN 'exact_gtin' WHEN gs.n > 1 THEN 'duplicate_canonical_gtin' WHEN i.k IS NULL THEN 'insufficient_exact_identity' WHEN ks.n = 1 THEN 'exact_composite' WHEN ks.n > 1 THEN 'ambiguous_exact_composite' ELSE 'no_exact_match' END AS outcome
 FROM i LEFT JOIN gs ON gs.g = i.g LEFT JOIN ks ON ks.k = i.k""")
 def entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    columns = ("gtin", "brand", "item_name", "flavour", "net_quantity_grams")
-    signs = lambda df: df.withColumns({c: F.regexp_replace(c, "[™®©βΒ&]", " ") for c in ("brand", "item_name", "flavour")})
-    incoming = keyed(signs(table(spark, folder, "listings")), "listing_id", *columns).distinct()
-    return resolve_entities(incoming, keyed(signs(table(spark, folder, "label_products")), "label_id", *columns).distinct())
-
-
-@query(None)
-def entity_resolution_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Of the columns as they are: signs dropped and '&' spelled out by the operator itself."""
     columns = ("gtin", "brand", "item_name", "flavour", "net_quantity_grams")
     incoming = keyed(table(spark, folder, "listings"), "listing_id", *columns).distinct()
@@ -603,24 +595,31 @@ def ingredient_tree(spark: SparkSession, folder: str) -> DataFrame:
     return trees.ingredient_nodes(once, "label_id", "ingredients_raw")
 
 
-@query("""WITH p AS (SELECT DISTINCT label_id AS id, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS name, d FROM (
-  SELECT label_id, unnest(regexp_split_to_array(replace(contains_raw, '&', ','), '[,;]')) AS x, 'contains' AS d FROM label_products WHERE contains_raw IS NOT NULL AND NOT regexp_matches(contains_raw, '[(\\[]')
-  UNION ALL SELECT label_id, unnest(regexp_split_to_array(replace(traces_raw, '&', ','), '[,;]')), 'may_contain' FROM label_products WHERE traces_raw IS NOT NULL AND NOT regexp_matches(traces_raw, '[(\\[]')))
-SELECT id, name, d AS declaration FROM p WHERE name <> ''""")
-def allergen_declarations(spark: SparkSession, folder: str) -> DataFrame:
-    def parts(column: str, kind: str) -> DataFrame:
-        flat = _labels(spark, folder).where(~F.col(column).rlike(r"[(\[]"))
-        return flat.select(F.col("label_id").alias("id"), F.explode(F.split(column, "[,;&]")).alias("x")).select("id", tx.normalize_text(F.col("x")).alias("name"), F.lit(kind).alias("declaration"))
-
-    return trees.allergen_declarations(parts("contains_raw", "contains").unionByName(parts("traces_raw", "may_contain")))
+# Parts of a text outside brackets: a delimiter cuts where the running depth, never below 0, is 0.
+_DEPTHS = """chars AS (SELECT id, d, t, unnest(range(1, length(t) + 1)) AS i FROM texts),
+marks AS (SELECT id, d, t, i, substr(t, i, 1) AS c, CASE WHEN substr(t, i, 1) IN ('(', '[') THEN 1 WHEN substr(t, i, 1) IN (')', ']') THEN -1 ELSE 0 END AS step FROM chars),
+sums AS (SELECT *, sum(step) OVER (PARTITION BY id, d, t ORDER BY i) AS s FROM marks),
+lows AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY id, d, t ORDER BY i)) AS depth FROM sums),
+cuts AS (SELECT *, (depth = 0 AND (c IN (',', ';') OR (c = '&' AND NOT regexp_matches(substr(t, 1, i - 1), '-\\s*$'))))::INT AS cut FROM lows),
+numbered AS (SELECT *, sum(cut) OVER (PARTITION BY id, d, t ORDER BY i) AS nth FROM cuts),
+parts AS (SELECT id, d, t, nth, trim(string_agg(c, '' ORDER BY i), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS part FROM numbered WHERE cut = 0 GROUP BY ALL)"""
 
 
-@query(None)
-def allergen_declarations_nested(spark: SparkSession, folder: str) -> DataFrame:
-    """Of every field, also those with brackets or numbered parts, split and named as the reference does."""
+@query(f"""WITH texts AS (SELECT DISTINCT label_id AS id, 'contains' AS d, contains_raw AS t FROM label_products WHERE contains_raw <> '' UNION SELECT label_id, 'may_contain', traces_raw FROM label_products WHERE traces_raw <> ''),
+{_DEPTHS}
+SELECT DISTINCT id, trim(regexp_replace(replace(lower(strip_accents(replace(regexp_replace(part, '^[a-zA-Z][a-zA-Z]:', ''), '-', ' '))), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS name, d AS declaration FROM parts WHERE name <> ''""")
+def allergen_declarations(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every field, also those with brackets or numbered parts."""
     return trees.declared_allergens(_labels(spark, folder), "label_id", "contains_raw", "traces_raw")
 
 
+@query(f"""WITH texts AS (SELECT DISTINCT label_id AS id, '' AS d, ingredients_raw AS t FROM label_products WHERE trim(ingredients_raw) <> ''), {_DEPTHS}
+SELECT id::VARCHAR AS id, (row_number() OVER (PARTITION BY id, t ORDER BY nth) - 1)::INT AS position, part AS raw FROM parts WHERE part <> ''""")
+def top_level_parts(spark: SparkSession, folder: str) -> DataFrame:
+    once = table(spark, folder, "label_products").select("label_id", "ingredients_raw").distinct()
+    return trees.ingredient_nodes(once, "label_id", "ingredients_raw").where("parent_path = ''").select("id", "position", "raw")
+
+
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
@@ -629,12 +628,7 @@ def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "listings").select("listing_id", tx.normalize_text(F.col("item_name")).alias("name")).distinct()
 
 
-@query(None)
-def normalize_text_nfkd(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "listings").select("listing_id", tx.normalize_text(F.col("item_name"), "nfkd").alias("name")).distinct()
-
-
-_QUANTITY = r"(?:^|[^0-9.])(\d+(?:\.\d+)?)\s*(kilograms?|kgs?|grams?|g|millilit(?:er|re)s?|ml|centilit(?:er|re)s?|cl|decilit(?:er|re)s?|dl|lit(?:er|re)s?|l)\b"
+_QUANTITY = tx.QUANTITY
 
 
 @query(f"""WITH q AS (SELECT DISTINCT label_id, try_cast(nullif(regexp_extract(lower(trim(net_quantity_text)), '{_QUANTITY}', 1), '') AS DOUBLE) AS v, regexp_extract(lower(trim(net_quantity_text)), '{_QUANTITY}', 2) AS u FROM label_products WHERE net_quantity_text IS NOT NULL)

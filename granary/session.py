@@ -50,19 +50,25 @@ def ship_package(spark: SparkSession) -> None:
     context._granary_shipped = True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder all executors share and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a session in one process (tests, bench)
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a session in one process (tests, bench)
     gets a local folder that goes with it; on a cluster it is an error, since no local folder is shared.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getConf().get("spark.checkpoint.dir") is None and context._jsc.sc().getCheckpointDir().isEmpty():
         if not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="granary-checkpoint-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get() if context._jsc.sc().getCheckpointDir().isDefined() else context.getConf().get("spark.checkpoint.dir")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder all executors share (``shared_folder``) and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 import re
 from datetime import datetime
 from pathlib import Path
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from granary.functions import jsons, nutrition as nu, text as tx, times
-from granary.operators import entities, ledgers, pages, relational as rel, trees, upserts
-from granary.plans import problem_queries, reference_queries
+from granary.operators import entities, evidence, ledgers, pages, relational as rel, trees, upserts
+from granary.plans import evidence_queries, problem_queries, reference_queries
 from granary.sources import files
 from granary.streaming.staging import upsert_stream
 
-SQL = {**reference_queries.ORACLE, **problem_queries.ORACLE}
-QUERIES = {**reference_queries.QUERIES, **problem_queries.QUERIES}
+SQL = {**reference_queries.ORACLE, **evidence_queries.ORACLE, **problem_queries.ORACLE}
+QUERIES = {**reference_queries.QUERIES, **evidence_queries.QUERIES, **problem_queries.QUERIES}
 
 
 def rows(df):
@@ -115,7 +116,7 @@ def test_gtin_and_text(spark):
     for raw, want in codes.items():
         assert value(spark, tx.gtin14(F.col("x")), "x string", (raw,)) == want, raw
     assert value(spark, tx.normalize_text(F.lit("Crème & Co™ β-Alanine"))) == "creme and co beta alanine" and value(spark, tx.normalize_text(F.lit(None).cast("string"))) == ""
-    assert value(spark, tx.normalize_text(F.col("x"), "nfkd"), "x string", ("ﬁne ½ Ｗｈｅｙ",)) == "fine 1 2 whey"
+    assert value(spark, tx.normalize_text(F.col("x")), "x string", ("ﬁne ½ Ｗｈｅｙ",)) == "fine 1 2 whey"
     assert value(spark, tx.composite_key(F.lit("A"), F.lit("B"), F.lit("c"), F.lit(500.0))) == "a|b|c|500" and value(spark, tx.composite_key(F.lit("A"), F.lit("B"), F.lit(None).cast("string"), F.lit(500.0))) is None
     assert value(spark, tx.declared_pack_grams(F.lit("Whey 2 kg"), F.lit(None).cast("string"))) == 2000 and value(spark, tx.declared_pack_grams(F.lit("Whey, 500 g"), F.lit(""))) == 500 and value(spark, tx.declared_pack_grams(F.lit("Whey"), F.lit("Net qty: 1 kg"))) == 1000
     assert value(spark, tx.additive_codes(F.lit("INS 322, colour 150d"), F.array(F.lit("en:e471")))) == ["INS 322", "INS 150D", "INS 471"]
@@ -127,6 +128,13 @@ def test_gtin_and_text(spark):
     assert value(spark, tx.comparable_text(F.col("x")), "x string", ("  Ａ  b ",)) == "a b"
 
 
+def test_normalized_text_of_all_characters(spark):
+    chars = [c for c in map(chr, range(1, 0x20000)) if not 0xD800 <= ord(c) < 0xE000]
+    texts = [" x".join(chars[i : i + 64]) for i in range(0, len(chars), 64)]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.normalize_text(F.col("t")).alias("n")).collect()
+    assert all(r.n == tx.plain_text(r.t) for r in found) and len(found) == len(texts)
+
+
 def test_times_and_json(spark):
     assert value(spark, times.is_canonical(F.lit("2026-01-01T00:00:00.000Z"))) and not value(spark, times.is_canonical(F.lit("2026-01-01")))
     stamp = lambda t, e: value(spark, times.canonical_time(times.observation_time(F.lit(t), F.lit(e).cast("double"))))
@@ -177,7 +185,7 @@ def test_signs_and_ampersands_are_resolved_by_the_operator(spark, tmp_path):
     listings = [(1, None, "Kelba", "Whey™ Gold", "Cookies & Cream", 500.0), (2, None, "Kelba", "Whey", "Mint", 500.0)]
     spark.createDataFrame(listings, f"listing_id long, {rest}").write.parquet(str(tmp_path / "listings.parquet"))
     spark.createDataFrame([(9, None, "KELBA®", "Whey Gold", "Cookies and Cream", 500.0)], f"label_id long, {rest}").write.parquet(str(tmp_path / "label_products.parquet"))
-    assert rows(QUERIES["entity_resolution_raw"](spark, str(tmp_path))) == [(1, 9, "exact_composite"), (2, None, "no_exact_match")]
+    assert rows(QUERIES["entity_resolution"](spark, str(tmp_path))) == [(1, 9, "exact_composite"), (2, None, "no_exact_match")]
 
 
 def test_relational_pieces(spark):
@@ -206,6 +214,41 @@ def test_trees(spark):
     assert rows(trees.allergen_declarations(parts)) == [(1, "egg", "source_tag"), (1, "milk", "contains")]
 
 
+def test_trees_are_rebuilt(spark):
+    text = spark.createDataFrame([("x", "Whey (milk 90%, soy & salt [a; b]), cocoa"), ("y", "oats")], "id string, t string")
+    told = {r.id: json.loads(r.tree) for r in trees.rebuild_trees(trees.ingredient_nodes(text, "id", "t"), "id").collect()}
+    leaf = lambda raw, at: {"raw": raw, "position": at, "children": []}
+    salt = {"raw": "salt [a; b]", "position": 2, "children": [leaf("a", 0), leaf("b", 1)]}
+    assert told == {"x": [{"raw": "Whey (milk 90%, soy & salt [a; b])", "position": 0, "children": [leaf("milk 90%", 0), leaf("soy", 1), salt]}, leaf("cocoa", 1)], "y": [leaf("oats", 0)]}
+
+
+def test_split_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(3_000):
+        text = "".join(rng.choice("ab ,;&-()[]") for _ in range(rng.randint(0, 24)))
+        depth, parts, part = 0, [], ""
+        for i, c in enumerate(text):
+            depth = max(0, depth + (c in "([") - (c in ")]"))
+            if depth == 0 and c in ",;&" and not (c == "&" and text[:i].rstrip().endswith("-")):
+                parts, part = [*parts, part], ""
+            else:
+                part += c
+        assert trees.split_top_level(text) == [p.strip() for p in [*parts, part] if p.strip()]
+
+
+def test_evidence_pieces(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 1, None), ("b", 1, 2), ("b", None, 2), ("c", 3, 4)], "k string, x int, y int")
+    assert rows(rel.uncontradicted(df, ["k"], ["x", "y"]).select("k")) == [("a",), ("a",), ("c",)]
+    assert rows(rel.membership_join(df.where("k = 'c'"), "x", spark.createDataFrame([(1, 3, 3), (2, None, 9)], "id int, p int, q int"), F.array("p", "q")).select("k", "id")) == [("c", 1)]
+    told = spark.createDataFrame([(1, "failed"), (1, "candidate"), (2, "rejected")], "k int, o string")
+    assert rows(evidence.role_outcomes(spark.createDataFrame([(1,), (3,), (3,)], "k int"), told, "k", "o", ["candidate", "rejected", "failed"])) == [(1, "requested", "candidate"), (2, "prediction", "rejected"), (3, "requested", "no_prediction")]
+    assert rows(evidence.text_conflicts(spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, None)], "k int, t string"), ["k"], F.col("t")).select("k")) == [(1,)]
+    e = spark.createDataFrame([(1, 2.0, 3.0), (2, 2.0, None), (3, 1.0, 1.0)], "k int, p double, q double")
+    a = spark.createDataFrame([(1, 2.1, None), (2, 2.9, 1.0)], "k int, p double, q double")
+    assert rows(evidence.benchmark_errors(e, a, ["k"], ["p", "q"], 0.5)) == [(1, "q_missing"), (2, "p_differs,q_unexpected"), (3, "row_missing")]
+    assert [r.n for r in rel.page_after(spark.createDataFrame([(1, 5), (2, 5), (3, 4)], "id int, n int"), "n", "id", 2, (5, 1)).collect()] == [5, 4]
+
+
 def test_allergens_of_bracketed_and_numbered_fields(spark, tmp_path):
     texts = [
         ("a", "(1) celery, (2) fish", "nuts (almond, cashew); sesame"), ("b", '["Tree nuts", "Peanuts"]', "en:tree-nuts, en:milk"), ("c", "milk & soy", "R-& D, milk & soy"),
@@ -224,7 +267,7 @@ def test_allergens_of_bracketed_and_numbered_fields(spark, tmp_path):
         return {" ".join(re.findall("[a-z0-9]+", p)) for p in plain} - {""}
 
     want = {(k, n, kind) for k, *both in texts for text, kind in zip(both, ("contains", "may_contain")) for n in brute(text)}
-    found = rows(QUERIES["allergen_declarations_nested"](spark, str(tmp_path)))
+    found = rows(QUERIES["allergen_declarations"](spark, str(tmp_path)))
     assert found == sorted(want, key=str)
     assert {("a", "1 celery", "contains"), ("a", "2 fish", "contains"), ("a", "nuts almond cashew", "may_contain"), ("b", "tree nuts peanuts", "contains"), ("b", "milk", "may_contain")} <= set(found)
 
