@@ -73,24 +73,52 @@ def allowed_edits(length: int) -> int:
     return 2 if length >= 7 else 1 if length >= 5 else 0
 
 
+def entry_of(name: str) -> str:
+    """A name as it is compared: folded, with letters for digits."""
+    return unleeted(folded(name))
+
+
+def common_words(entries: Iterable[str]) -> set[str]:
+    """Words that follow the first in names of three different first words, but for those that one name alone begins with."""
+    by_head: dict[str, str] = {e.split()[0]: e for e in sorted(set(entries)) if e}
+    shared = Counter(w for e in by_head.values() for w in set(e.split()[1:]))
+    return {w for w, n in shared.items() if n >= 3}
+
+
+def forms_of(entry: str, common: set[str]) -> list[tuple[str, bool]]:
+    """The forms under which a name is found, and whether each is the name itself; the others count if no other name has them."""
+    words = entry.split()
+    own = [w for w in words if w not in common]
+    found = [(entry, True)]
+    if own and own != words:
+        found.append((" ".join(own), False))
+    if len(words) > 1 and len(words[0]) >= 5 and words[0] not in common:
+        found.append((words[0], False))
+    return found
+
+
 class NameMatcher:
-    """``names``: (key, name) pairs, several names per key allowed. ``match`` gives the key meant, or None."""
+    """Finds the key that a typed name means, among (form, key) pairs and the names of several own words.
+
+    ``of`` makes one from (key, name) pairs, several names per key allowed. ``match`` gives the key meant, or None;
+    ``best`` gives it with its rank, so that matchers of several parts of a list can be compared.
+    """
 
-    def __init__(self, names: Iterable[tuple[str, str]], memo: int = 200_000):
-        entries = sorted({(unleeted(folded(name)), key) for key, name in names if folded(name)})
-        shared = Counter(w for words in {e.split()[0]: e.split() for e, _ in entries if e}.values() for w in set(words[1:]))
-        heads = Counter(e.split()[0] for e, _ in {(e, k) for e, k in entries})
-        self.common = {w for w, n in shared.items() if n >= 3} - {h for h, n in heads.items() if n == 1 and shared[h] < 3}
+    @classmethod
+    def of(cls, names: Iterable[tuple[str, str]], memo: int = 200_000) -> NameMatcher:
+        entries = sorted({(entry_of(name), key) for key, name in names if folded(name)})
+        common = common_words(e for e, _ in entries)
         owners: dict[str, set[str]] = defaultdict(set)
+        whole = {e for e, _ in entries}
         for entry, key in entries:
-            words = entry.split()
-            own = [w for w in words if w not in self.common]
-            owners[entry].add(key)
-            if own and own != words:
-                owners[" ".join(own)].add(key)
-            if len(words) > 1 and len(words[0]) >= 5 and words[0] not in self.common:
-                owners[words[0]].add(key)  # the first word alone, if no other name has it
-        self.forms = {form: min(keys) for form, keys in owners.items() if len(keys) == 1 or form in {e for e, _ in entries}}
+            for form, _ in forms_of(entry, common):
+                owners[form].add(key)
+        forms = [(form, min(keys)) for form, keys in owners.items() if len(keys) == 1 or form in whole]
+        return cls(forms, entries, common, memo)
+
+    def __init__(self, forms: Iterable[tuple[str, str]], entries: Iterable[tuple[str, str]], common: set[str], memo: int = 200_000):
+        self.common = common
+        self.forms = dict(sorted(forms))
         self.machine = ahocorasick.Automaton()
         for form, key in self.forms.items():
             self.machine.add_word(f" {form} ", (form, key))
@@ -126,34 +154,35 @@ class NameMatcher:
         if text not in self.memo:
             if len(self.memo) >= self.most:
                 self.memo.clear()
-            self.memo[text] = self._match(text)
+            ranks = self.best(text)
+            self.memo[text] = None if not ranks or any(r[:4] == ranks[0][:4] and r[4] != ranks[0][4] for r in ranks[1:]) else ranks[0][4]
         return self.memo[text]
 
-    def _match(self, text: str) -> str | None:
-        if not self.forms:
-            return None
+    def best(self, text: str) -> list[tuple[int, float, float, str, str]]:
+        """The best (stage, far, spoiled, form, key) of a text; several only for token sets that do equally well."""
         plain = folded(text)
-        for form in dict.fromkeys((plain, unleeted(plain))):
-            if found := self.mentions(form):
-                return max(found, key=lambda m: (m[1] - m[0], -m[0]))[2]
+        for stage, form in enumerate(dict.fromkeys((plain, unleeted(plain)))):
+            if self.forms and (found := self.mentions(form)):
+                start, end, key = max(found, key=lambda m: (m[1] - m[0], -m[0]))
+                return [(stage, float(start - end), float(start), "", key)]
         words = [w for w in unleeted(plain).split() if w not in _AROUND]
         own = [w for w in words if w not in self.common and not (len(w) >= 5 and self._near_common(w))]
         whole = ("".join(words), "".join(own))
-        best: tuple[int, int, str, str] | None = None
+        best: tuple[int, float, float, str, str] | None = None
         for attempt in dict.fromkeys((*whole, *(w for w in own if len(w) >= 5))):
             for form in self._candidates(attempt):
                 # one word of several may be half of a name that was cut in two
                 most = min(allowed_edits(max(len(form), len(attempt))), 2 if attempt in whole else 1)
                 far = edits(attempt, form, most)
                 if far <= most:
-                    rank = (far, -len(form), form, self.squeezed[form])
+                    rank = (2, float(far), float(-len(form)), form, self.squeezed[form])
                     best = rank if best is None else min(best, rank)
-        return best[3] if best else self._by_tokens(own)
+        return [best] if best else self._by_tokens(own)
 
-    def _by_tokens(self, own: list[str]) -> str | None:
-        """The name of several own words that most of the typed words and its own are shared with, in any order; None if two do equally well."""
+    def _by_tokens(self, own: list[str]) -> list[tuple[int, float, float, str, str]]:
+        """The names of several own words that most of the typed words and their own are shared with, in any order: the best, and those as good."""
         if len(own) < 2 or not self.sets:
-            return None
+            return []
         near: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
         for at, word in enumerate(own):
             most = allowed_edits(len(word) + 2)
@@ -177,10 +206,9 @@ class NameMatcher:
                     spoiled += far
             both = len(named)
             if both > 1 and (score := both / (len(set(self.sets[i][0])) + len(own) - both)) > 0.5:
-                ranks.append((-score, spoiled, self.sets[i][1]))
+                ranks.append((3, -score, float(spoiled), "", self.sets[i][1]))
         ranks.sort()
-        tied = len(ranks) > 1 and ranks[0][:2] == ranks[1][:2] and ranks[0][2] != ranks[1][2]
-        return ranks[0][2] if ranks and not tied else None
+        return [r for r in ranks if r[:4] == ranks[0][:4]]
 
     def mentions(self, form: str) -> list[tuple[int, int, str]]:
         """Longest non-overlapping (start, end, key) of names embedded as whole words in a folded text."""

@@ -79,5 +79,13 @@ WITH plain AS (
 )
 SELECT product_id, 'record' AS field_name, record_id FROM ranked WHERE n > 1 AND nth = 1
 {''.join(f" UNION ALL SELECT product_id, '{f}', arg_min(record_id, nth) FROM ranked WHERE n > 1 AND u_{f} GROUP BY product_id" for f in _USABLE)}
+""",
+    # words and signs stand for tokens: which sources fall short is the same for any usual tokenizer
+    "p9_found": r"""
+WITH sized AS (
+  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]'))) AS n
+  FROM (SELECT DISTINCT doc_id, source, text FROM documents) SEMI JOIN mix_targets USING (source) GROUP BY source
+)
+SELECT m.source FROM mix_targets m LEFT JOIN sized USING (source) WHERE coalesce(n, 0) * max_repeats < target_share * (SELECT sum(n) FROM sized)
 """,
 }

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.canonical import canonical_names
+from granary.llm.canonical import CanonicalList
 from granary.llm.listings import BRAND, FLAVOUR, JOINED, PLAIN, WORD, Cut, Entries, Meaning, Quantity, cut_listing, looked_up, read
 from granary.llm.vocabulary import learn_dictionary, mark_companions
 from granary.session import broadcast_if_small, cut_lineage, latest_by
@@ -217,7 +217,7 @@ def same_products(
         ["at", "in"],
     )
     cut = cut_listings(once)
-    known = canonical_names(brand_sources, "brand_source_id", "brand_name", "brand_aliases", max_entries)
+    known = CanonicalList(brand_sources, "brand_source_id", "brand_name", "brand_aliases", max_entries)
     dictionary = mark_companions(learn_dictionary(count_texts(cut), known), _looked(cut))
     said = cut_lineage(read_profiles(cut, dictionary).where(F.col("taste").isNotNull() & F.col("size").isNotNull()))
     merged = merge_profiles(said.select(*PROFILE).distinct())

@@ -202,13 +202,12 @@ def score_pieces(encoded: DataFrame, model: Model) -> DataFrame:
     return encoded.mapInPandas(score, "doc long, chars long, surprise double")
 
 
-def spam_pages(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", deviations: float = 3.5, share: float = 0.45) -> DataFrame:
+def spam_pages(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", deviations: float = 3.5, share: float = 0.5) -> DataFrame:
     """doc_id and the share of its characters that stand in flagged pieces, for pages where it is above ``share``.
 
     A piece is flagged if its mean surprise, smoothed over its neighbours, is farther than ``deviations`` robust
     standard deviations (from the median absolute deviation over the pieces of all documents) from the median, on
-    either side. ``share`` is a little below a half because single pieces of such pages pass for prose. The model
-    is one table of at most (number of classes) squared counts; texts are read once and never shuffled, only one
+    either side. The model is one table of at most (number of classes) squared counts; texts are read once and never shuffled, only one
     small row per piece is.
 
     Defined cases: null, empty and blank texts are no spam; a text of one piece is judged by it; of a repeated id

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from granary.llm.listings import BRAND, FLAVOUR, JOINED, PLAIN, WORD
-from granary.llm.names import _AROUND, NameMatcher, folded, unleeted
+from granary.llm.canonical import CanonicalList
+from granary.llm.names import _AROUND, folded, unleeted
 from granary.llm.near import near_pairs
 from granary.session import broadcast_if_small, cut_lineage
 
@@ -52,35 +53,20 @@ def _flavours(tokens: DataFrame) -> DataFrame:
     return cut_lineage(mended.select(F.lit(FLAVOUR).alias("role"), "text", "flavour"))
 
 
-def learn_dictionary(tokens: DataFrame, known: list[tuple[str, str]], ratio: int = 5) -> DataFrame:
+def learn_dictionary(tokens: DataFrame, known: CanonicalList, ratio: int = 5) -> DataFrame:
     """(role, text, line, maker, flavour, spelled, explained, vague, weight) from (role, text, own, n).
 
     ``tokens`` has one row per role and text, with the number of listings; ``own`` tells a flavour field's flavour
-    from one that a title's words may make up. ``known`` are the (key, name) pairs of the canonical list of brands.
+    from one that a title's words may make up. ``known`` is the canonical list of brands.
     A word means, in this order: a brand whose name it is in; a more frequent word that it is a typing error of; a
     brand that it nearly names, unless it is more frequent than that brand's own words; a product line. ``spelled`` is
     the ordinary word, ``flavour`` the flavour, that a word is a typing error of.
     """
     spark = tokens.sparkSession
-    matcher: list[NameMatcher] = []
-
-    def ready() -> NameMatcher:
-        if not matcher:
-            matcher.append(NameMatcher(known))
-        return matcher[0]
-
-    @F.pandas_udf(StringType())
-    def names(texts: pd.Series) -> pd.Series:
-        return texts.map(ready().match)
-
-    @F.pandas_udf(StringType())
-    def exactly(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: ready().squeezed.get(t))
+    common = known.common
 
     @F.pandas_udf(StringType())
     def bare(texts: pd.Series) -> pd.Series:
-        common = ready().common
-
         def one(text: str) -> str | None:
             name = bare_brand(text)
             own = [w for w in name.split() if w not in common]
@@ -95,7 +81,7 @@ def learn_dictionary(tokens: DataFrame, known: list[tuple[str, str]], ratio: int
     flavour_words = flavours.select(F.explode(F.split(F.concat_ws(" ", "text", "flavour"), " ")).alias("word")).distinct()
 
     # brand fields: the list's brands, else their own bare writing, or that of a more frequent neighbour
-    fields = cut_lineage(tokens.where(F.col("role") == BRAND).select("text", "n", names("text").alias("listed"), bare("text").alias("bare")))
+    fields = cut_lineage(known.with_match(tokens.where(F.col("role") == BRAND).select("text", "n"), "text", "listed").withColumn("bare", bare("text")))
     heads = fields.where("listed IS NULL AND bare IS NOT NULL").select("text", "n", "bare", F.replace("bare", F.lit(" "), F.lit("")).alias("word"))
     counted = cut_lineage(heads.groupBy("word").agg(F.sum("n").alias("n"), F.min("bare").alias("bare")))
     mended = _nearest(counted, counted.select(F.col("word").alias("target"), F.col("n").alias("weight")), 2).where("target IS NOT NULL")
@@ -109,15 +95,15 @@ def learn_dictionary(tokens: DataFrame, known: list[tuple[str, str]], ratio: int
     forms = cut_lineage(forms.groupBy("word").agg(F.max(F.struct("n", "maker")).alias("m")).select("word", "m.maker", F.col("m.n").alias("held")))
 
     # words
-    listed_words = spark.createDataFrame(sorted({(w, key) for key, name in known for w in unleeted(folded(name)).split()}), "word string, key string")
+    listed_words = cut_lineage(known.words())
     plain = F.broadcast(spark.createDataFrame([(w,) for w in sorted(PLAIN)], "word string").withColumn("plain", F.lit(True)))
     tasted = tokens.where((F.col("role") == FLAVOUR) & F.col("own")).join(broadcast_if_small(flavours.select("text")), "text", "left_semi").select(F.explode(F.split("text", " ")).alias("word"), "n")
     seen = cut_lineage(tokens.where(F.col("role") == WORD).select(F.col("text").alias("word"), "n").unionByName(tasted).groupBy("word").agg(F.sum("n").alias("n")))
     weights = broadcast_if_small(cut_lineage(listed_words.join(seen, "word").groupBy("key").agg(F.max("n").alias("heaviest"))), _SMALL)
     named = listed_words.select("word").distinct().withColumn("named", F.lit(True))
     words = seen.join(plain, "word", "left").join(flavour_words.withColumn("tastes", F.lit(True)), "word", "left").join(named, "word", "left").join(forms, "word", "left")
-    said = F.when(F.length("word") >= 5, names("word"))
-    words = cut_lineage(words.withColumn("listed", said))
+    words = known.with_match(words.withColumn("typed", F.when(F.length("word") >= 5, F.col("word"))), "typed", "listed")
+    words = cut_lineage(words.drop("typed"))
     clear = F.col("plain").isNotNull() | F.col("tastes").isNotNull() | F.col("named").isNotNull() | (F.col("maker").isNotNull() & (F.col("held") >= F.col("n") / 2))
     targets = words.select(F.col("word").alias("target"), F.col("n").alias("weight")).unionByName(forms.select(F.col("word").alias("target"), F.col("held").alias("weight"))).groupBy("target").agg(F.max("weight").alias("weight"))
     near = cut_lineage(_nearest(words.where(~clear).select("word", "n"), targets, ratio))
@@ -151,7 +137,7 @@ def learn_dictionary(tokens: DataFrame, known: list[tuple[str, str]], ratio: int
 
     # two words as one: only those that are written as a line or brand elsewhere
     joined = tokens.where(F.col("role") == JOINED).select("text", "n").join(told.where("line = text AND weight > 2").select("text", "line", "weight"), "text", "left").join(forms.select(F.col("word").alias("text"), "maker"), "text", "left")
-    joined = joined.withColumn("maker", F.coalesce(exactly("text"), "maker")).where((F.col("line").isNotNull() & (F.col("weight") > 5 * F.col("n"))) | F.col("maker").isNotNull())
+    joined = known.squeezed(joined, "text", "exact").withColumn("maker", F.coalesce("exact", "maker")).where((F.col("line").isNotNull() & (F.col("weight") > 5 * F.col("n"))) | F.col("maker").isNotNull())
     joined = joined.select(F.lit(JOINED).alias("role"), "text", F.when(F.col("maker").isNull(), F.col("line")).alias("line"), "maker", "weight")
     return cut_lineage(told.unionByName(joined, True).unionByName(brands, True).unionByName(flavours, True).select("role", "text", "line", "maker", "flavour", "spelled", F.coalesce("explained", F.lit(False)).alias("explained"), F.coalesce("vague", F.lit(False)).alias("vague"), F.coalesce("weight", F.lit(0)).alias("weight")))
 

@@ -56,14 +56,23 @@ def test_brand_mapping_awkward_rows(spark, brands):
     assert rows(map_to_canonical(df, brands)) == [(1, "gen"), (4, "none")]
     assert rows(map_to_canonical(df, brands.limit(0))) == [(1, "none"), (4, "none")]
     assert rows(map_to_canonical(df.limit(0), brands)) == []
-    with pytest.raises(ValueError):
-        map_to_canonical(df, brands, max_entries=2)
+    assert rows(map_to_canonical(df, brands, max_entries=1)) == [(1, "gen"), (4, "none")]  # a list beyond the bound is no error
+
+
+def test_long_lists_are_matched_in_blocks(spark, folder):
+    listings, entries = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("listings", "brand_sources"))
+    whole = rows(map_to_canonical(listings, entries))
+    assert rows(map_to_canonical(listings, entries, max_entries=60)) == whole and len({k for _, k in whole}) > 20
+    typed = spark.createDataFrame([(1, "Rivr Ambr", T), (2, "amber rivers", T), (3, "Stone Lantern Mill", T), (4, "???", T)], "listing_id long, brand string, observed_at timestamp").withColumn("ingested_at", F.lit(T))
+    names = spark.createDataFrame([("a", "Amber River", None), ("l", "Lantern Stone", ["Stony Lane"]), ("x", "Plain Foods", None)], BRANDS)
+    assert rows(same_products(listings, entries, max_entries=60)) == rows(same_products(listings, entries))
+    assert rows(map_to_canonical(typed, names, max_entries=2)) == rows(map_to_canonical(typed, names)) == [(1, "a"), (2, "a"), (3, "l"), (4, "none")]
 
 
 def test_matcher_against_brute_force():
     rng = random.Random(5)
     names = ["".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(120)]
-    matcher = NameMatcher([(n, n) for n in names])
+    matcher = NameMatcher.of([(n, n) for n in names])
     for _ in range(300):
         word = list(rng.choice(names))
         for _ in range(rng.randint(0, 3)):
@@ -75,7 +84,7 @@ def test_matcher_against_brute_force():
 
 
 def test_names_of_several_words_match_in_any_order():
-    matcher = NameMatcher([("ar", "Amber River"), ("as", "Amber Stone Foods"), ("ol", "Old Harbour Lane"), ("x", "Kelba Foods"), ("y", "Zodrim Foods"), ("z", "Parnu Foods")])
+    matcher = NameMatcher.of([("ar", "Amber River"), ("as", "Amber Stone Foods"), ("ol", "Old Harbour Lane"), ("x", "Kelba Foods"), ("y", "Zodrim Foods"), ("z", "Parnu Foods")])
     typed = {"Rivr Ambr": "ar", "River Amber": "ar", "Ston Ambre Foods": "as", "Lane Harbuor Old": "ol", "Amber Foods Rivre Whey": "ar", "Harbour Whey Snack Ambr": None, "Amber Lane": None, "Foods": None}
     assert {t: matcher.match(t) for t in typed} == typed
 
