@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from granary.functions import nutrition as nu
 from granary.functions import text as tx
 from granary.functions.jsons import append, canonical_json_hash, unknown_keys
-from granary.operators import evidence as ev, relational as rel, trees
+from granary.operators import evidence as ev, pages, predictions, relational as rel, trees
+from granary.operators.ingest import normalize_source_rows
 from granary.operators.label_rows import row_value
 from granary.operators.shred import flatten_payloads
-from granary.plans.reference_queries import _RECORDS, _records, _sources
+from granary.plans.reference_queries import _RECORDS, _labels, _records, _sources
 from granary.session import latest_by, shared_folder
 from granary.sources.files import read_jsonl, read_tsv
 from granary.sources.tables import table
@@ -315,6 +316,68 @@ def markdown_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "label_products").select("label_id", lines.alias("page")).distinct()
 
 
+# --- records, predictions, pages ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_RECORDS} SELECT record_id::VARCHAR AS source_record_id, CASE WHEN brand IS NULL THEN '' ELSE split_part(trim(brand), ',', 1) END AS brand, nullif(trim(item_name), '') AS name, CASE WHEN net_quantity_grams > 0 THEN net_quantity_grams END AS net_grams,
+  calories, protein_grams AS protein, 'per_100g' AS basis, CASE WHEN protein_grams > 100 THEN 'nutrient_over_100g' ELSE '' END AS over FROM records""")
+def staged_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The records as raw rows of strings, normalised again."""
+    text = lambda c: F.col(c).cast("string")
+    raw = _records(spark, folder).select(
+        text("record_id").alias("code"), F.col("brand").alias("brands"), F.col("item_name").alias("product_name"), text("net_quantity_grams").alias("product_quantity"), F.lit("g").alias("product_quantity_unit"),
+        text("calories").alias("energy-kcal_100g"), text("protein_grams").alias("proteins_100g"),
+    )
+    over = F.array_join(F.filter("issues", lambda i: (i["code"] == "nutrient_over_100g") & (i["field"] == "protein"))["code"], ",")
+    return normalize_source_rows(raw).select("source_record_id", "brand", "name", "net_grams", "calories", "protein", "basis", over.alias("over"))
+
+
+@query(f"""WITH {_RECORDS}, c AS (SELECT product_id, status <> 'missing' AS good, calories, protein_grams, CASE WHEN serving_size_grams > 50 THEN 'per_serving' ELSE 'per_100g' END AS basis FROM records),
+k AS (SELECT product_id, count(*) AS predictions, count(*) FILTER (good) AS accepted, coalesce((max(calories) FILTER (good) - min(calories) FILTER (good)) / greatest(max(calories) FILTER (good), 1), 0) AS a,
+  coalesce((max(protein_grams) FILTER (good) - min(protein_grams) FILTER (good)) / greatest(max(protein_grams) FILTER (good), 1), 0) AS b, coalesce(min(basis) FILTER (good) <> max(basis) FILTER (good), false) AS mixed FROM c GROUP BY 1)
+SELECT product_id, CASE WHEN accepted > 0 THEN 'candidate' ELSE 'rejected' END AS outcome, predictions, greatest(a, b) > 0.15 OR mixed AS conflict FROM k
+UNION ALL SELECT 'none', 'no_prediction', 0, false""")
+def attempt_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _records(spark, folder)
+    reasons = F.when(F.col("status") == "missing", F.array(F.lit("missing"))).otherwise(F.array().cast("array<string>"))
+    basis = F.when(F.col("serving_size_grams") > 50, "per_serving").otherwise("per_100g")
+    candidates = rows.select("product_id", "calories", F.col("protein_grams").alias("protein"), basis.alias("basis"), reasons.alias("reasons"))
+    asked = rows.select("product_id").unionByName(spark.range(1).select(F.lit("none").alias("product_id")))
+    return predictions.attempt_outcomes(asked, candidates, "product_id")
+
+
+@query(f"""WITH {_RECORDS}, p AS (SELECT record_id, calories, protein_grams FROM records WHERE calories IS NOT NULL AND status = 'verified')
+SELECT record_id, calories, protein_grams AS protein, CASE WHEN calories > 0 AND protein_grams IS NOT NULL THEN 'per_100g' END AS basis FROM (SELECT record_id, CASE WHEN calories > 0 AND protein_grams IS NOT NULL THEN calories END AS calories, CASE WHEN calories > 0 THEN protein_grams END AS protein_grams FROM p)""")
+def prediction_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Verified facts written as a model's map of nutrients, read back as candidates."""
+    rows = _records(spark, folder).where("calories IS NOT NULL AND status = 'verified'")
+    cell = lambda c, unit: F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("string").alias("value"), F.lit(unit).alias("unit"), F.lit(0.9).alias("score")))
+    told = F.map_filter(F.create_map(F.lit("energy-kcal_100g"), cell("calories", "kcal"), F.lit("proteins_100g"), cell("protein_grams", "g")), lambda k, v: v.isNotNull())
+    made = predictions.nutrition_candidates(rows.select("record_id", F.to_json(told).alias("nutrients")), ["record_id"], "nutrients")
+    return made.select("record_id", "calories", "protein", "basis")
+
+
+@query("SELECT DISTINCT label_id::VARCHAR AS page, 0 AS position, nullif(trim(item_name), '') AS name, nullif(trim(brand), '') AS brand, source_record_id AS sku, gtin FROM label_products")
+def page_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Each label as a page that describes it in JSON-LD, and the products read from these pages."""
+    product = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("item_name").alias("name"), F.struct(F.col("brand").alias("name")).alias("brand"), F.col("source_record_id").alias("sku"), F.col("gtin").alias("gtin13")))
+    html = F.concat(F.lit('<p>x</p><script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, '), product, F.lit("]}</script>"))
+    found = pages.products_of_pages(_labels(spark, folder).select("label_id", html.alias("html")), "label_id", "html")
+    return found.select("page", "position", "name", "brand", "sku", "gtin").distinct()
+
+
+@query(f"""WITH {_RECORDS}, w AS (SELECT record_id, calories, protein_grams, protein_grams / 2 AS sugar FROM records WHERE calories > 0 AND protein_grams IS NOT NULL)
+SELECT record_id, unnest(['calories', 'protein', 'sugar']) AS field, unnest([round(calories), round(protein_grams), round(sugar)]) AS value FROM w""")
+def page_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts printed as a table of a page, with two rows for sugar of which the plain one counts, and read again."""
+    whole = lambda c: F.round(c).cast("long").cast("string")
+    rows = _records(spark, folder).where("calories > 0 AND protein_grams IS NOT NULL")
+    html = F.concat(
+        F.lit("<p>Nutrient | Per 100 g</p><p>Energy | "), whole("calories"), F.lit(" kcal</p><p>Added sugars | 1 g</p><p>Protein | "), whole("protein_grams"), F.lit(" g</p><p>Sugar | "), whole(F.col("protein_grams") / 2), F.lit(" g</p>")
+    )
+    return pages.nutrition_tables(rows.select("record_id", html.alias("html")), "record_id", "html").select(F.col("page").alias("record_id"), "field", "value")
+
+
 # --- scans -------------------------------------------------------------------------------------------------------------
 
 

@@ -45,6 +45,33 @@ def p6_factors(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_found, p6_scales, p6_factors)}
 
 ORACLE = {
+    "p4_found": """
+WITH RECURSIVE last AS (
+  SELECT decision_id, arg_max(ltrim(payload, chr(65279)), (decided_at, payload)) AS t FROM evidence_decisions WHERE decision_id IS NOT NULL AND payload IS NOT NULL GROUP BY 1
+), once AS (
+  SELECT decision_id, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM last
+), whole AS (
+  SELECT decision_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN (j->>'$')::JSON END ELSE j END AS j FROM once
+), docs AS (
+  SELECT decision_id, j, CASE WHEN json_type(j->'candidate') = 'OBJECT' THEN j->'candidate' ELSE j END AS c FROM whole WHERE json_type(j) = 'OBJECT'
+), lists AS (
+  SELECT decision_id, CASE json_type(j->'normalizedIngredients') WHEN 'ARRAY' THEN (j->'normalizedIngredients')::JSON[] WHEN 'OBJECT' THEN [j->'normalizedIngredients'] END AS l FROM docs
+), nodes AS (
+  SELECT decision_id, unnest(l) AS n, unnest(range(len(l)))::VARCHAR AS node_path, '' AS parent_path FROM lists
+  UNION ALL
+  SELECT decision_id, unnest(l), node_path || '.' || unnest(range(len(l)))::VARCHAR, node_path FROM (
+    SELECT decision_id, node_path, CASE json_type(n->'children') WHEN 'ARRAY' THEN (n->'children')::JSON[] WHEN 'OBJECT' THEN [n->'children'] END AS l FROM nodes WHERE json_type(n) = 'OBJECT')
+), boxes AS (
+  SELECT decision_id, '' AS node_path, c->'boundingBox' AS b FROM docs
+  UNION ALL
+  SELECT decision_id, unnest(range(len(l)))::VARCHAR, unnest(l)->'boundingBox' FROM (SELECT decision_id, CASE json_type(c->'lines') WHEN 'ARRAY' THEN (c->'lines')::JSON[] WHEN 'OBJECT' THEN [c->'lines'] END AS l FROM docs)
+), sides AS (
+  SELECT decision_id, node_path, CASE json_type(b) WHEN 'ARRAY' THEN list_transform(b::JSON[], lambda x: try_cast(x->>'$' AS DOUBLE)) WHEN 'OBJECT' THEN list_transform(['x', 'y', 'width', 'height'], lambda k: try_cast(json_extract_string(b, k) AS DOUBLE)) END AS s FROM boxes
+)
+SELECT decision_id, 'ingredient' AS kind, node_path, parent_path, coalesce(CAST(floor(try_cast(n->>'position' AS DOUBLE) + 0.5) AS INT), -1) AS pos, CASE WHEN json_type(n) = 'OBJECT' THEN n->>'raw' ELSE n->>'$' END AS node_text FROM nodes WHERE json_type(n) <> 'NULL'
+UNION ALL
+SELECT decision_id, 'box', node_path, '', -1, array_to_string(list_transform(s, lambda x: CAST(floor(x + 0.5) AS BIGINT)::VARCHAR), ',') FROM sides WHERE len(s) = 4 AND len(list_filter(s, lambda x: x IS NULL)) = 0
+""",
     "p5_found": """
 WITH known AS (
   SELECT run_id, source_id AS src, row_number() OVER (PARTITION BY source_id ORDER BY started_at NULLS FIRST, run_id) AS nth

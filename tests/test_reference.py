@@ -6,6 +6,7 @@ import random
 import re
 from datetime import datetime
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -15,6 +16,7 @@ from pyspark.sql.types import StructType
 from granary.functions import jsons, nutrition as nu, text as tx, times
 from granary.operators import entities, evidence, ledgers, pages, relational as rel, trees, upserts
 from granary.plans import evidence_queries, problem_queries, reference_queries
+from granary.session import shared_folder
 from granary.sources import files
 from granary.streaming.staging import upsert_stream
 
@@ -222,6 +224,13 @@ def test_trees_are_rebuilt(spark):
     assert told == {"x": [{"raw": "Whey (milk 90%, soy & salt [a; b])", "position": 0, "children": [leaf("milk 90%", 0), leaf("soy", 1), salt]}, leaf("cocoa", 1)], "y": [leaf("oats", 0)]}
 
 
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    unset = SimpleNamespace(isEmpty=lambda: True, isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(sparkContext=context))
+
+
 def test_split_against_brute_force():
     rng = random.Random(1)
     for _ in range(3_000):
